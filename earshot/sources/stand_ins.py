@@ -62,8 +62,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trial_slot() -> Column:
-    """Minute of the trial: an order-following cut of a day's trials."""
-    return F.floor(F.unix_seconds("ts") / 60)
+    """Minute of the day: it follows the order of a day's trials."""
+    return F.hour("ts") * 60 + F.minute("ts")
 
 
 def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
