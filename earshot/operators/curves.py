@@ -49,38 +49,124 @@ def _solve(s: list[Column], t: list[Column]) -> tuple[Column, Column]:
 
 def local_fit(
     points: DataFrame, keys: list[str], x: str, y: str,
-    span: float = 0.75, cell: float = 0.2, margin: float = 0.005, width: float | None = 10.0,
+    span: float = 0.75, cell: float = 0.2, margin: float = 0.005, longest: int = 500,
 ) -> DataFrame:
     """Local quadratic regression of ``y`` on ``x`` per curve; adds ``fitted``.
 
     Cleveland, Devlin & Grosse (1988): the curve is cut into cells of at most
     ``span * cell`` of its points, a tricube-weighted quadratic is fitted at the
     cell borders only, and the borders' values and slopes are blended by cubic
-    Hermite pieces. A curve has at most some twenty borders however long it is, so
-    each point is sent to a fixed number of fits and every step is an aggregate.
+    Hermite pieces.
 
     ``x`` must be distinct within a curve. The bandwidth is the distance to the
     q-th nearest point, q = floor(span * n). Where a border has fewer than three
     points of positive weight the quadratic is not determined and ``fitted`` is NULL.
 
-    The points are checkpointed, plain and ranked, because later steps read them often; ``width``
-    is the step of ``x`` used to rank them (see :func:`cumulative`).
+    Curves of up to ``longest`` points (counted first) are fitted each in one row;
+    longer ones by joins and aggregates that send a point to some twenty fits.
     """
     # Cut first: a filter on a computed y would be pushed below the computation and repeat it.
-    pts = cut_lineage(points).where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_t", F.lit(1).cast("long"))
-    pts = cut_lineage(
-        cumulative(pts, keys, x, "_t", width=width)
-        .withColumns({"_rank": F.col("before") + 1, "_n": F.col("total")})
-        .drop("before", "total", "_t")
+    pts = cut_lineage(points).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sizes = pts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= longest:
+        return _fit_rows(pts, keys, x, y, span, cell, margin)
+    short = attach(pts, sizes, keys).where(F.col("_n") <= longest).drop("_n")
+    far = attach(pts, sizes, keys).where(F.col("_n") > longest).drop("_n")
+    return _fit_rows(short, keys, x, y, span, cell, margin).unionByName(
+        _fit_joined(far, keys, x, y, span, cell, margin)
     )
+
+
+def _widen(low: Column, high: Column, margin: float) -> Column:
+    """How far the outer borders lie outside the points."""
+    return F.greatest(high - low, F.greatest(F.abs(low), F.abs(high)) * 1e-3 + 1e-30) * F.lit(margin)
+
+
+def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell: float, margin: float) -> DataFrame:
+    """Fit curves of bounded length, one curve per row."""
+    p, n = F.col("_p"), F.col("_n")
+    curve = (
+        pts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"))
+        .withColumn("_n", F.size("_p").cast("long"))
+        .withColumns({
+            "_q": F.floor(n * F.lit(span) + F.lit(1e-5)).cast("int"), "_least": F.floor(n * F.lit(span * cell)),
+            "_cells": F.array(F.struct(F.lit(1).cast("long").alias("l"), n.alias("u"))),
+        })
+    )
+
+    def split(c: Column) -> Column:
+        middle = F.floor((c["l"] + c["u"]) / 2)
+        return F.when((c["u"] - c["l"] + 1 <= F.col("_least")) | (c["u"] <= c["l"]), F.array(c)).otherwise(F.array(
+            F.struct(c["l"].alias("l"), middle.alias("u")), F.struct((middle + 1).alias("l"), c["u"].alias("u"))))
+
+    for _ in range(MOST_HALVINGS):
+        curve = curve.withColumn("_cells", F.flatten(F.transform("_cells", split)))
+    low, high = F.element_at(p, 1)["x"], F.element_at(p, -1)["x"]
+    between = lambda c: (F.get(p, (c["l"] - 2).cast("int"))["x"] + F.get(p, (c["l"] - 1).cast("int"))["x"]) / 2.0
+    curve = curve.withColumn("_w", _widen(low, high, margin)).withColumn("_borders", F.concat(
+        F.array(low - F.col("_w")), F.transform(F.filter("_cells", lambda c: c["l"] > 1), between), F.array(high + F.col("_w"))))
+
+    # Per border: bandwidth, then the points inside it as (u, w, y), then their sums.
+    reach = lambda v: F.get(F.array_sort(F.transform(p, lambda e: F.abs(e["x"] - v))), F.col("_q") - 1)
+    scaled = lambda b: F.transform(p, lambda e: F.struct(((e["x"] - b["v"]) / b["h"]).alias("u"), e["y"].alias("y")))
+    inside = lambda b: F.transform(
+        F.filter(scaled(b), lambda e: F.abs(e["u"]) < 1.0),
+        lambda e: F.struct(e["u"].alias("u"), e["y"].alias("y"),
+                           F.pow(1.0 - F.pow(F.abs(e["u"]), F.lit(3.0)), F.lit(3.0)).alias("w")))
+    def moment(e: Column, k: int) -> Column:
+        out = e["w"]
+        for _ in range(k):
+            out = out * e["u"]
+        return out
+
+    def add(sums: Column, e: Column) -> Column:
+        return F.struct(
+            *[(sums[f"s{k}"] + moment(e, k)).alias(f"s{k}") for k in range(5)],
+            *[(sums[f"t{k}"] + moment(e, k) * e["y"]).alias(f"t{k}") for k in range(3)])
+
+    zeros = F.struct(*[F.lit(0.0).alias(f"s{k}") for k in range(5)], *[F.lit(0.0).alias(f"t{k}") for k in range(3)])
+    curve = curve.withColumn("_fits", F.transform("_borders", lambda v: F.struct(v.alias("v"), reach(v).alias("h"))))
+    curve = curve.withColumn("_fits", F.transform(F.filter("_fits", lambda b: b["h"] > 0.0), lambda b: F.struct(
+        b["v"].alias("v"), b["h"].alias("h"), inside(b).alias("near"))))
+    curve = curve.withColumn("_fits", F.transform("_fits", lambda b: F.struct(
+        b["v"].alias("v"), b["h"].alias("h"), F.size(b["near"]).alias("k"), F.aggregate(b["near"], zeros, add).alias("m"))))
+
+    def solved(b: Column) -> Column:
+        value, slope = _solve([b["m"][f"s{k}"] for k in range(5)], [b["m"][f"t{k}"] for k in range(3)])
+        return F.struct(b["v"].alias("v"), F.when(b["k"] >= 3, value).alias("f"), F.when(b["k"] >= 3, slope / b["h"]).alias("d"))
+
+    curve = curve.withColumn("_fits", F.transform("_fits", solved))
+    rows = curve.select(*keys, "_fits", F.explode("_p").alias("_e")).select(
+        *keys, "_fits", F.col("_e.x").alias(x), F.col("_e.y").alias(y))
+    return _blend(rows, x)
+
+
+def _blend(rows: DataFrame, x: str) -> DataFrame:
+    """Cubic Hermite piece between the border at or below a point and the next one."""
+    at = rows.withColumn("_i", F.size(F.filter("_fits", lambda b: b["v"] <= F.col(x)))).withColumns({
+        "_a": F.expr("try_element_at(_fits, nullif(_i, 0))"), "_b": F.expr("try_element_at(_fits, _i + 1)"),
+    })
+    a, b = F.col("_a"), F.col("_b")
+    step = b["v"] - a["v"]
+    s = (F.col(x) - a["v"]) / step
+    hermite = (
+        (1 + 2 * s) * (1 - s) * (1 - s) * a["f"] + s * (1 - s) * (1 - s) * step * a["d"]
+        + s * s * (3 - 2 * s) * b["f"] + s * s * (s - 1) * step * b["d"]
+    )
+    return at.withColumn("fitted", hermite).drop("_i", "_a", "_b", "_fits")
+
+
+def _fit_joined(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell: float, margin: float) -> DataFrame:
+    """Fit curves of any length: points are ranked, joined to their curve's few borders, summed."""
+    ranked = cumulative(cut_lineage(pts.withColumn("_t", F.lit(1).cast("long"))), keys, x, "_t")
+    pts = cut_lineage(ranked.select(*keys, x, y, (F.col("before") + 1).alias("_rank"), F.col("total").alias("_n")))
     q = F.floor(F.col("_n") * F.lit(span) + F.lit(1e-5))
     curve = pts.groupBy(*keys).agg(
         F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.max("_n").alias("_n"),
     )
     smallest = F.floor(F.col("_n") * F.lit(span * cell))
-    widen = F.greatest(
-        F.col("_hi") - F.col("_lo"), F.greatest(F.abs("_lo"), F.abs("_hi")) * 1e-3 + 1e-30
-    ) * F.lit(margin)
+    widen = _widen(F.col("_lo"), F.col("_hi"), margin)
 
     # Borders: the two widened ends, and midway between the ranks either side of a cut.
     starts = _cells(curve, keys, smallest).where(F.col("_l") > 1).withColumnRenamed("_l", "_start").drop("_u")
@@ -122,21 +208,7 @@ def local_fit(
             F.when(enough, slope / F.col("_h")).alias("d")).alias("_fit"))
         .groupBy(*keys).agg(F.array_sort(F.collect_list("_fit")).alias("_fits"))  # one per border
     )
-
-    # Blend: the border at or below the point, and the next one.
-    at = attach(pts, fits, keys).withColumn(
-        "_i", F.size(F.filter("_fits", lambda b: b["v"] <= F.col(x)))
-    ).withColumns({"_a": F.expr("try_element_at(_fits, _i)"), "_b": F.expr("try_element_at(_fits, _i + 1)")})
-    a, b = F.col("_a"), F.col("_b")
-    step = b["v"] - a["v"]
-    s = (F.col(x) - a["v"]) / step
-    hermite = (
-        (1 + 2 * s) * (1 - s) * (1 - s) * a["f"] + s * (1 - s) * (1 - s) * step * a["d"]
-        + s * s * (3 - 2 * s) * b["f"] + s * s * (s - 1) * step * b["d"]
-    )
-    return at.withColumn("fitted", F.when(F.col("_i") > 0, hermite)).drop(
-        "_i", "_a", "_b", "_fits", "_rank", "_n"
-    )
+    return _blend(attach(pts.select(*keys, x, y), fits, keys), x)
 
 
 def crossing(curve: DataFrame, keys: list[str], x: str, fitted: str, level: float, out: str = "TH") -> DataFrame:
@@ -145,20 +217,16 @@ def crossing(curve: DataFrame, keys: list[str], x: str, fitted: str, level: floa
     ``x`` is averaged over equal fitted values; NULL when the level is outside the
     fitted range or part of the curve could not be fitted.
     """
-    f = F.col(fitted)
-    around = curve.groupBy(*keys).agg(
-        F.max(F.when(f <= level, f)).alias("_a"), F.min(F.when(f >= level, f)).alias("_b"),
-        (F.count(fitted) == F.count("*")).alias("_whole"),
-    )
-    ends = attach(curve, around, keys).groupBy(*keys).agg(
-        F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.min("_whole").alias("_whole"),
-        F.avg(F.when(f == F.col("_a"), F.col(x))).alias("_xa"),
-        F.avg(F.when(f == F.col("_b"), F.col(x))).alias("_xb"),
-    )
-    share = (F.lit(level) - F.col("_a")) / (F.col("_b") - F.col("_a"))
-    place = F.when(F.col("_a") == F.col("_b"), F.col("_xa")).otherwise(
-        F.col("_xa") + share * (F.col("_xb") - F.col("_xa"))
+    steps = curve.groupBy(*keys, fitted).agg(F.avg(x).alias("_x"))
+    point = F.struct(F.col(fitted).alias("f"), F.col("_x").alias("x"))
+    ends = steps.groupBy(*keys).agg(
+        F.max(F.when(F.col(fitted) <= level, point)).alias("_a"),
+        F.min(F.when(F.col(fitted) >= level, point)).alias("_b"),
+        F.bool_and(F.col(fitted).isNotNull()).alias("_whole"),
     )
+    a, b = F.col("_a"), F.col("_b")
+    share = (F.lit(level) - a["f"]) / (b["f"] - a["f"])
+    place = F.when(a["f"] == b["f"], a["x"]).otherwise(a["x"] + share * (b["x"] - a["x"]))
     return ends.select(*keys, F.when(F.col("_whole"), place).alias(out))
 
 

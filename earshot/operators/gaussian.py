@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.ranks import histogram
-from earshot.session import cut_lineage
 
 HALLEY_STEPS = 8
 
@@ -48,7 +47,7 @@ class HeavyTail:
 
 def fit_heavy_tail(df: DataFrame, y: str, steps: int = 40, tolerance: float = 1e-10) -> HeavyTail:
     """Parameters of the transform; delta is 0 where kurtosis does not exceed 3."""
-    hist = cut_lineage(histogram(df, [], y))
+    hist = histogram(df, [], y)
     t, v = F.col("t"), F.col(y)
     n, total = hist.agg(F.sum("t"), F.sum(t * v)).first()
     if not n or n < 2:

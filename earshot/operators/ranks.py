@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.joins import attach, group_of
+from earshot.session import cut_lineage
 
 
 def numbered(
@@ -44,12 +45,14 @@ def numbered(
     )
 
 
-def histogram(df: DataFrame, keys: list[str], value: str, count: str = "t") -> DataFrame:
-    """Rows reduced to (keys, value) with their count; NULL values are left out."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value).agg(F.count("*").alias(count))
-    )
+def histogram(df: DataFrame, keys: list[str], value: str, count: str = "t", weight: str | None = None) -> DataFrame:
+    """Rows reduced to (keys, value) with their count; NULL values are left out.
+
+    ``weight`` names a column of counts where the rows are counted already. The
+    table is checkpointed: whoever asks for it reads it several times.
+    """
+    n = F.sum(weight) if weight else F.count("*")
+    return cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias(count)))
 
 
 def _slotted(
@@ -87,12 +90,19 @@ def cumulative(
 ) -> DataFrame:
     """Add ``before`` (rows with a smaller value in the group) and ``total`` to a histogram.
 
-    Slots are ``width`` wide when the measurement has a natural step (1 ms for
-    reaction times); without one, groups of more than ``rows`` distinct values are
-    cut evenly between their extremes, and crowded slots are cut once more.
+    ``hist`` should be materialised; up to ``rows`` entries in all are counted by a
+    plain window. Above that groups are cut into slots: ``width`` wide when the
+    measurement has a natural step (1 ms for reaction times), else evenly between
+    the group's extremes, crowded slots once more.
     """
-    hist, slots = _slotted(hist, keys, value, width, rows, most, rounds)
     hist = hist.withColumn("_g", group_of(keys))
+    if hist.limit(rows + 1).count() <= rows:
+        upto = Window.partitionBy("_g").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return hist.withColumns({
+            "before": F.sum(count).over(upto) - F.col(count),
+            "total": F.sum(count).over(Window.partitionBy("_g")),
+        }).drop("_g")
+    hist, slots = _slotted(hist, keys, value, width, rows, most, rounds)
     along = Window.partitionBy("_g").orderBy(*slots)
     offsets = (
         hist.groupBy("_g", *slots).agg(F.sum(count).alias("_n"))

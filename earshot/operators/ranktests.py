@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from earshot.functions.normal import normal_upper, with_probit
 from earshot.functions.tails import chi2_p
 from earshot.operators.joins import attach
-from earshot.operators.ranks import cumulative
+from earshot.operators.ranks import cumulative, histogram
 from earshot.session import cut_lineage
 
 
@@ -20,9 +20,7 @@ def _group_ranks(
         df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
         .groupBy(*keys, value, group).agg(F.count("*").alias("_c"))
     )
-    cum = cut_lineage(cumulative(
-        hist.groupBy(*keys, value).agg(F.sum("_c").alias("t")), keys, value, width=width
-    ))
+    cum = cut_lineage(cumulative(histogram(hist, keys, value, weight="_c"), keys, value, width=width))
     ranks = cum.select(*keys, value, (F.col("before") + (F.col("t") + 1) / F.lit(2.0)).alias("_rank"))
     groups = attach(hist, ranks, [*keys, value]).groupBy(*keys, group).agg(
         F.sum("_c").alias("_ng"), F.sum(F.col("_c") * F.col("_rank")).alias("_rg"),

@@ -53,14 +53,27 @@ def over_threshold(hits: DataFrame, th_long: DataFrame, match_background_type: b
     )
 
 
-def describe_reaction(hits: DataFrame, keys: list[str] = RXN_KEYS, width: float = 1.0) -> DataFrame:
+def counted(trials: DataFrame, by: list[str] = RXN_KEYS, extra: list[str] = ()) -> DataFrame:
+    """Trials summed up per setting, type and response: trials ``n``, summed and counted times.
+
+    Small, and enough for d', thresholds and mean reaction times, so that a report
+    needing all three reads the trials once.
+    """
+    return trials.groupBy(*by, *extra, "Type", "Response").agg(
+        F.count("*").alias("n"), F.sum("RTime").alias("RTime_sum"), F.count("RTime").alias("RTime_n"),
+    )
+
+
+def describe_reaction(hits: DataFrame, keys: list[str] = RXN_KEYS, width: float = 1.0, weight: str | None = None) -> DataFrame:
     """Full description of reaction times; ``width`` is the order step in ms."""
-    return describe(hits, keys, "RTime", width=width)
+    return describe(hits, keys, "RTime", width=width, weight=weight)
 
 
-def mean_reaction(hits: DataFrame, keys: list[str] = RXN_KEYS) -> DataFrame:
-    """Number and mean only, for the queries that use no other statistic."""
-    return hits.groupBy(*keys).agg(F.count("RTime").alias("n"), F.avg("RTime").alias("mean"))
+def mean_reaction(cells: DataFrame, keys: list[str] = RXN_KEYS) -> DataFrame:
+    """Number and mean from :func:`counted` trials."""
+    return cells.groupBy(*keys).agg(
+        F.sum("RTime_n").alias("n"), F.try_divide(F.sum("RTime_sum"), F.sum("RTime_n")).alias("mean"),
+    )
 
 
 def reaction_change(rxn: DataFrame, before: str = "Baseline", after: str = "Post HHL") -> DataFrame:
@@ -76,16 +89,16 @@ def reaction_change(rxn: DataFrame, before: str = "Baseline", after: str = "Post
 DAILY_KEYS = ["ID", "Condition", "BG_Type", "BG_Intensity", "Dur", "Freq", "Inten"]
 
 
-def daily_reaction(hits: DataFrame) -> DataFrame:
-    """Mean over days of each day's mean reaction time."""
-    per_day = hits.groupBy("Date", *DAILY_KEYS, "Stim").agg(F.avg("RTime").alias("mean"))
+def daily_reaction(cells: DataFrame) -> DataFrame:
+    """Mean over days of each day's mean reaction time, from trials counted per ``Date``."""
+    per_day = mean_reaction(cells, ["Date", *DAILY_KEYS, "Stim"])
     return per_day.groupBy(*DAILY_KEYS).agg(strict_mean("mean").alias("mean"))
 
 
-def overall_and_daily(rxn: DataFrame, hits: DataFrame) -> DataFrame:
+def overall_and_daily(cells: DataFrame) -> DataFrame:
     """Overall means with the daily-averaged mean beside them."""
-    daily = daily_reaction(hits).withColumnRenamed("mean", "mean_daily")
-    return attach(rxn.select(*RXN_KEYS, "n", "mean"), daily, DAILY_KEYS)
+    daily = daily_reaction(cells).withColumnRenamed("mean", "mean_daily")
+    return attach(mean_reaction(cells), daily, DAILY_KEYS)
 
 
 # --- fixed values: duration sets by session name ---

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.labels import stim_kind
 from earshot.functions.normal import with_probit
-from earshot.operators.joins import attach
 from earshot.params import DPRIME_KEYS
 
 
-def response_table(trials: DataFrame, keys: list[str] = DPRIME_KEYS) -> DataFrame:
-    """Counts of each response per setting, trial type, frequency and level; NULL for none."""
-    c = lambda name, out: F.nullif(F.count_if(F.col("Response") == name), F.lit(0)).alias(out)
+def response_table(trials: DataFrame, keys: list[str] = DPRIME_KEYS, weight: str | None = None) -> DataFrame:
+    """Counts of each response per setting, trial type, frequency and level; NULL for none.
+
+    ``weight`` names a column of counts where the trials are counted already.
+    """
+    one = F.col(weight) if weight else F.lit(1)
+    c = lambda name, out: F.sum(F.when(F.col("Response") == name, one)).alias(out)
     return trials.groupBy(*keys, "Type", "Freq", "Inten").agg(
         c("C.R.", "CR"), c("F.A.", "FA"), c("Hit", "Hit"), c("Miss", "Miss"),
     )
@@ -24,20 +27,21 @@ def attach_nogo(table: DataFrame, keys: list[str] = DPRIME_KEYS, nogo: str = "su
 
     ``nogo="sum"`` adds up the setting's no-go rows (none counts as zero);
     ``nogo="row_count"`` uses the number of those rows wherever it is not one.
+    The window runs over the response table, which has one row per stimulus of a
+    setting however many trials there were, so trials are read once only.
     """
-    own = table.where(F.col("Type") == 0).groupBy(*keys).agg(
-        F.coalesce(F.sum("CR"), F.lit(0)).alias("_cr"),
-        F.coalesce(F.sum("FA"), F.lit(0)).alias("_fa"), F.count("*").alias("_rows"),
-    )
+    setting = Window.partitionBy(*keys)
+    none = F.col("Type") == 0
+    zero = F.lit(0).cast("long")
+    over = lambda col: F.coalesce(F.sum(F.when(none, F.col(col))).over(setting), zero)
     cr, fa = F.col("_cr"), F.col("_fa")
     if nogo == "row_count":
-        rows = F.coalesce(F.col("_rows"), F.lit(0))
-        cr, fa = F.when(rows == 1, cr).otherwise(rows), F.when(rows == 1, fa).otherwise(rows)
-    zero = F.lit(0).cast("long")
+        cr, fa = (F.when(F.col("_rows") == 1, c).otherwise(F.col("_rows")) for c in (cr, fa))
     return (
-        attach(table.where(F.col("Type") == 1), own, keys)
+        table.withColumns({"_cr": over("CR"), "_fa": over("FA"), "_rows": F.count_if(none).over(setting)})
+        .where(F.col("Type") == 1)
         .withColumns({
-            "CR": F.coalesce("CR", cr, zero), "FA": F.coalesce("FA", fa, zero),
+            "CR": F.coalesce("CR", cr), "FA": F.coalesce("FA", fa),
             "Hit": F.coalesce("Hit", zero), "Miss": F.coalesce("Miss", zero),
         })
         .drop("_cr", "_fa", "_rows")
@@ -70,8 +74,10 @@ def dprime_indices(table: DataFrame) -> DataFrame:
     )
 
 
-def dprime_table(trials: DataFrame, keys: list[str] = DPRIME_KEYS, nogo: str = "sum") -> DataFrame:
-    """d' per setting, stimulus and level, straight from trials."""
-    return dprime_indices(attach_nogo(response_table(trials, keys), keys, nogo)).select(
+def dprime_table(
+    trials: DataFrame, keys: list[str] = DPRIME_KEYS, nogo: str = "sum", weight: str | None = None,
+) -> DataFrame:
+    """d' per setting, stimulus and level, straight from trials (or counted trials)."""
+    return dprime_indices(attach_nogo(response_table(trials, keys, weight), keys, nogo)).select(
         *keys, "Type", "dB", "Hit", "Miss", "FA", "CR", "dprime", "beta", "aprime", "bppd", "c",
     )

@@ -60,32 +60,33 @@ def count_labels(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, by: list[str], value: str, width: float | None = None, trim: float = 0.1) -> DataFrame:
+def describe(
+    df: DataFrame, by: list[str], value: str, width: float | None = None, trim: float = 0.1, weight: str | None = None,
+) -> DataFrame:
     """n, mean, sd, median, trimmed mean, MAD, min, max, range, skew, kurtosis and se per group.
 
     The rows are reduced to (group, value, count), which is checkpointed because
     every later step works on it. Moments are taken around the mean in a second pass, MAD from the
     histogram of distances to the median.
     """
-    hist = cut_lineage(histogram(df, by, value))
+    hist = histogram(df, by, value, weight=weight)
     cum = cumulative(hist, by, value, width=width)
     cut = F.floor(F.col("total") * F.lit(trim))
     kept = F.greatest(
         F.least(F.col("before") + F.col("t"), F.col("total") - cut) - F.greatest(F.col("before"), cut), F.lit(0)
     )
-    first = cum.groupBy(*by).agg(
+    first = cut_lineage(cum.groupBy(*by).agg(
         F.max("total").alias("n"),
         (F.sum(F.col("t") * F.col(value)) / F.sum("t")).alias("mean"),
         quantile_from(0.5, value).alias("median"),
         (F.sum(kept * F.col(value)) / F.sum(kept)).alias("trimmed"),
         F.min(value).alias("min"), F.max(value).alias("max"),
-    )
-    around = attach(hist, first, by).withColumn("_d", F.col(value) - F.col("mean"))
+    ))
+    around = attach(hist, first.select(*by, "mean", "median"), by).withColumn("_d", F.col(value) - F.col("mean"))
     power = lambda k: F.sum(F.col("t") * F.pow(F.col("_d"), F.lit(k)))
     moments = around.groupBy(*by).agg(power(2).alias("_m2"), power(3).alias("_m3"), power(4).alias("_m4"))
-    distances = (
-        around.withColumn("_a", F.abs(F.col(value) - F.col("median")))
-        .groupBy(*by, "_a").agg(F.sum("t").alias("t"))
+    distances = histogram(
+        around.withColumn("_a", F.abs(F.col(value) - F.col("median"))), by, "_a", weight="t"
     )
     mad = cumulative(distances, by, "_a", width=width).groupBy(*by).agg(
         (F.lit(1.4826) * quantile_from(0.5, "_a")).alias("mad")
@@ -106,7 +107,7 @@ def describe(df: DataFrame, by: list[str], value: str, width: float | None = Non
 
 def box(df: DataFrame, by: list[str], value: str, width: float | None = None) -> DataFrame:
     """Quartiles, whiskers (last value within 1.5 box heights) and number of outliers."""
-    return _box(cut_lineage(histogram(df, by, value)), by, value, width)
+    return _box(histogram(df, by, value), by, value, width)
 
 
 def _box(hist: DataFrame, by: list[str], value: str, width: float | None) -> DataFrame:
@@ -129,7 +130,7 @@ def _box(hist: DataFrame, by: list[str], value: str, width: float | None) -> Dat
 
 def outliers(df: DataFrame, by: list[str], value: str, width: float | None = None) -> DataFrame:
     """The points a box plot draws one by one, with how often each occurs."""
-    hist = cut_lineage(histogram(df, by, value))
+    hist = histogram(df, by, value)
     reach = 1.5 * (F.col("upper") - F.col("lower"))
     return (
         attach(hist, _box(hist, by, value, width).select(*by, "lower", "upper"), by)

@@ -13,6 +13,7 @@ from earshot.plans import sql as q
 from earshot.plans.registry import query
 from earshot.plans.sessions import sessions
 from earshot.plans.sql import statement
+from earshot.session import cut_lineage
 from earshot.sources import stand_ins as src
 
 PARAMS = Params(min_blocks=src.TEST_MIN_BLOCKS, block_sizes=src.TEST_BLOCK_SIZES)
@@ -43,8 +44,15 @@ def over_threshold(spark, sf):
     return reaction.over_threshold(reaction.go_hits(analysis(spark, sf)), thresholds(spark, sf))
 
 
+def counted_over_threshold(spark, sf, extra=()):
+    """Counted hits above threshold; trials are read once for thresholds and times."""
+    cells = cut_lineage(reaction.counted(analysis(spark, sf), extra=extra))
+    th = curves.thresholds(sdt.dprime_table(cells, weight="n"), PARAMS.th_cutoff)
+    return reaction.over_threshold(reaction.go_hits(cells), th)
+
+
 def rxn_means(spark, sf):
-    return reaction.mean_reaction(over_threshold(spark, sf))
+    return reaction.mean_reaction(counted_over_threshold(spark, sf))
 
 
 # Blocks ---------------------------------------------------------------------------
@@ -274,7 +282,8 @@ def over(spark, sf):
 @query("rxn_describe", statement(q.describe("over_th", RXN_KEYS, "RTime"), ["Dur", "Freq", "Inten", *_STATS]))
 def rxn_describe(spark, sf):
     """Full description of reaction times above threshold."""
-    return reaction.describe_reaction(over_threshold(spark, sf))
+    hits_above = counted_over_threshold(spark, sf, extra=["RTime"])
+    return reaction.describe_reaction(hits_above, weight="n")
 
 
 @query("rxn_change", statement(
@@ -293,7 +302,7 @@ SELECT ID, Condition, BG_Type, BG_Intensity, Dur, Freq, Inten, avg(mean) AS mean
 @query("rxn_daily", statement(_DAILY, ["Dur", "Freq", "Inten", "mean"]))
 def rxn_daily(spark, sf):
     """Mean of daily mean reaction times."""
-    return reaction.daily_reaction(over_threshold(spark, sf))
+    return reaction.daily_reaction(counted_over_threshold(spark, sf, extra=["Date"]))
 
 
 @query("rxn_daily_vs_overall", statement(
@@ -301,12 +310,7 @@ def rxn_daily(spark, sf):
     ["Dur", "Freq", "Inten", "mean", "mean_daily"]))
 def rxn_daily_vs_overall(spark, sf):
     """Both ways of averaging side by side."""
-    from earshot.session import cut_lineage
-    hits_above = cut_lineage(over_threshold(spark, sf).groupBy("Date", *RXN_KEYS).agg(
-        F.sum("RTime").alias("sum"), F.count("RTime").alias("n")))
-    overall = hits_above.groupBy(*RXN_KEYS).agg(F.sum("n").alias("n"), (F.sum("sum") / F.sum("n")).alias("mean"))
-    per_day = hits_above.withColumn("RTime", F.col("sum") / F.col("n"))
-    return reaction.overall_and_daily(overall, per_day)
+    return reaction.overall_and_daily(counted_over_threshold(spark, sf, extra=["Date"]))
 
 
 @query("both_conditions", statement("""
@@ -383,7 +387,6 @@ def rxn_change_band(spark, sf):
 def dprime_change_band(spark, sf):
     """Change of d' per background with the average threshold."""
     from earshot.operators.joins import attach
-    from earshot.session import cut_lineage
     d = cut_lineage(dprimes(spark, sf))
     change = curves.dprime_change(d).where(F.col("Condition") == "dprime_change")
     band = mean_se(change, ["BG", "BG_Type", "BG_Intensity", "Type", "dB"], "dprime", (-1, 91), on="dB")
