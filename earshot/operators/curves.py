@@ -83,63 +83,56 @@ def _widen(low: Column, high: Column, margin: float) -> Column:
     return F.greatest(high - low, F.greatest(F.abs(low), F.abs(high)) * 1e-3 + 1e-30) * F.lit(margin)
 
 
+# Weighted sums of a border's points: s0..s4 of powers of u, t0..t2 of those times y.
+_POWERS = ["1", "e.u", "e.u * e.u", "e.u * e.u * e.u", "e.u * e.u * e.u * e.u"]
+_SUMS = {f"s{k}": f"e.w * {u}" for k, u in enumerate(_POWERS)} | {
+    f"t{k}": f"e.w * {u} * e.y" for k, u in enumerate(_POWERS[:3])
+}
+_ZEROS = ", ".join(f"'{name}', 0D" for name in _SUMS)
+_ADD = ", ".join(f"'{name}', m.{name} + {term}" for name, term in _SUMS.items())
+
+
 def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell: float, margin: float) -> DataFrame:
-    """Fit curves of bounded length, one curve per row."""
-    p, n = F.col("_p"), F.col("_n")
+    """Fit curves of bounded length, one curve per row.
+
+    ``_p`` holds the points, ``_cells`` the cells as first and last rank, ``_fits``
+    one entry per border that grows from its place and bandwidth to value and slope.
+    """
+    halves = """flatten(transform(_cells, c -> if(c.u - c.l + 1 <= _least or c.u <= c.l, array(c), array(
+        named_struct('l', c.l, 'u', (c.l + c.u) div 2), named_struct('l', (c.l + c.u) div 2 + 1, 'u', c.u)))))"""
+    borders = """concat(array(_p[0].x - _w), transform(filter(_cells, c -> c.l > 1),
+        c -> (_p[int(c.l) - 2].x + _p[int(c.l) - 1].x) / 2), array(_p[_n - 1].x + _w))"""
+    bands = """filter(transform(_borders, v -> named_struct('v', v, 'h',
+        get(array_sort(transform(_p, e -> abs(e.x - v))), _q - 1))), b -> b.h > 0)"""
+    near = """transform(_fits, b -> named_struct('v', b.v, 'h', b.h, 'near', transform(filter(
+        transform(_p, e -> named_struct('u', (e.x - b.v) / b.h, 'y', e.y)), e -> abs(e.u) < 1),
+        e -> named_struct('u', e.u, 'y', e.y, 'w', pow(1 - pow(abs(e.u), 3), 3)))))"""
+    summed = f"""transform(_fits, b -> named_struct('v', b.v, 'h', b.h, 'k', size(b.near), 'm', aggregate(b.near,
+        named_struct({_ZEROS}), (m, e) -> named_struct({_ADD}))))"""
+    moments = [F.col(f"_s.m.{name}") for name in _SUMS]
+    value, slope = _solve(moments[:5], moments[5:])
     curve = (
         pts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"))
-        .withColumn("_n", F.size("_p").cast("long"))
+        .withColumn("_n", F.size("_p"))
         .withColumns({
-            "_q": F.floor(n * F.lit(span) + F.lit(1e-5)).cast("int"), "_least": F.floor(n * F.lit(span * cell)),
-            "_cells": F.array(F.struct(F.lit(1).cast("long").alias("l"), n.alias("u"))),
+            "_q": F.floor(F.col("_n") * F.lit(span) + F.lit(1e-5)).cast("int"),
+            "_least": F.floor(F.col("_n") * F.lit(span * cell)),
+            "_w": _widen(F.expr("_p[0].x"), F.expr("_p[_n - 1].x"), margin),
+            "_cells": F.expr("array(named_struct('l', 1L, 'u', bigint(_n)))"),
         })
     )
-
-    def split(c: Column) -> Column:
-        middle = F.floor((c["l"] + c["u"]) / 2)
-        return F.when((c["u"] - c["l"] + 1 <= F.col("_least")) | (c["u"] <= c["l"]), F.array(c)).otherwise(F.array(
-            F.struct(c["l"].alias("l"), middle.alias("u")), F.struct((middle + 1).alias("l"), c["u"].alias("u"))))
-
     for _ in range(MOST_HALVINGS):
-        curve = curve.withColumn("_cells", F.flatten(F.transform("_cells", split)))
-    low, high = F.element_at(p, 1)["x"], F.element_at(p, -1)["x"]
-    between = lambda c: (F.get(p, (c["l"] - 2).cast("int"))["x"] + F.get(p, (c["l"] - 1).cast("int"))["x"]) / 2.0
-    curve = curve.withColumn("_w", _widen(low, high, margin)).withColumn("_borders", F.concat(
-        F.array(low - F.col("_w")), F.transform(F.filter("_cells", lambda c: c["l"] > 1), between), F.array(high + F.col("_w"))))
-
-    # Per border: bandwidth, then the points inside it as (u, w, y), then their sums.
-    reach = lambda v: F.get(F.array_sort(F.transform(p, lambda e: F.abs(e["x"] - v))), F.col("_q") - 1)
-    scaled = lambda b: F.transform(p, lambda e: F.struct(((e["x"] - b["v"]) / b["h"]).alias("u"), e["y"].alias("y")))
-    inside = lambda b: F.transform(
-        F.filter(scaled(b), lambda e: F.abs(e["u"]) < 1.0),
-        lambda e: F.struct(e["u"].alias("u"), e["y"].alias("y"),
-                           F.pow(1.0 - F.pow(F.abs(e["u"]), F.lit(3.0)), F.lit(3.0)).alias("w")))
-    def moment(e: Column, k: int) -> Column:
-        out = e["w"]
-        for _ in range(k):
-            out = out * e["u"]
-        return out
-
-    def add(sums: Column, e: Column) -> Column:
-        return F.struct(
-            *[(sums[f"s{k}"] + moment(e, k)).alias(f"s{k}") for k in range(5)],
-            *[(sums[f"t{k}"] + moment(e, k) * e["y"]).alias(f"t{k}") for k in range(3)])
-
-    zeros = F.struct(*[F.lit(0.0).alias(f"s{k}") for k in range(5)], *[F.lit(0.0).alias(f"t{k}") for k in range(3)])
-    curve = curve.withColumn("_fits", F.transform("_borders", lambda v: F.struct(v.alias("v"), reach(v).alias("h"))))
-    curve = curve.withColumn("_fits", F.transform(F.filter("_fits", lambda b: b["h"] > 0.0), lambda b: F.struct(
-        b["v"].alias("v"), b["h"].alias("h"), inside(b).alias("near"))))
-    curve = curve.withColumn("_fits", F.transform("_fits", lambda b: F.struct(
-        b["v"].alias("v"), b["h"].alias("h"), F.size(b["near"]).alias("k"), F.aggregate(b["near"], zeros, add).alias("m"))))
-
-    def solved(b: Column) -> Column:
-        value, slope = _solve([b["m"][f"s{k}"] for k in range(5)], [b["m"][f"t{k}"] for k in range(3)])
-        return F.struct(b["v"].alias("v"), F.when(b["k"] >= 3, value).alias("f"), F.when(b["k"] >= 3, slope / b["h"]).alias("d"))
-
-    curve = curve.withColumn("_fits", F.transform("_fits", solved))
-    rows = curve.select(*keys, "_fits", F.explode("_p").alias("_e")).select(
-        *keys, "_fits", F.col("_e.x").alias(x), F.col("_e.y").alias(y))
-    return _blend(rows, x)
+        curve = curve.withColumn("_cells", F.expr(halves))
+    for name, text in (("_borders", borders), ("_fits", bands), ("_fits", near), ("_fits", summed)):
+        curve = curve.withColumn(name, F.expr(text))
+    enough = F.col("_s.k") >= 3
+    fits = (
+        curve.select(*keys, F.explode("_fits").alias("_s"))
+        .select(*keys, F.struct(F.col("_s.v").alias("v"), F.when(enough, value).alias("f"),
+                                F.when(enough, slope / F.col("_s.h")).alias("d")).alias("_fit"))
+        .groupBy(*keys).agg(F.array_sort(F.collect_list("_fit")).alias("_fits"))
+    )
+    return _blend(attach(pts.select(*keys, x, y), fits, keys), x)
 
 
 def _blend(rows: DataFrame, x: str) -> DataFrame:

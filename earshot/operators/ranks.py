@@ -1,10 +1,10 @@
 """Row numbers, ranks and exact quantiles that never sort a whole group in one task.
 
-A group may hold a third of all rows, so nothing here uses a window over a whole
-group of raw rows. A group is cut into slots that follow its order; slots are
-counted (partial aggregation), the short list of slot counts is summed up per
-group, and rows are numbered inside their slot only. Everything is a
-deterministic function of the data, so a task that is run again after a lost
+A group may hold a third of all rows, so a window over a whole group is used only
+where its size was checked. Otherwise a group is cut into slots that follow its
+order; slots are counted (partial aggregation), the short list of slot counts is
+summed up per group, and rows are numbered inside their slot only. Everything is
+a deterministic function of the data, so a task that is run again after a lost
 executor gives the same answer.
 """
 
@@ -17,16 +17,30 @@ from earshot.operators.joins import attach, group_of
 from earshot.session import cut_lineage
 
 
+ONE_TASK = 2_000_000  # rows of a group that one task may sort
+SMALL = 100_000       # histogram entries that one task may hold
+
+
 def numbered(
     df: DataFrame, keys: list[str], order: list[str], slot: Column,
-    row: str = "row", total: str = "total",
+    row: str = "row", total: str = "total", largest: int | None = None,
 ) -> DataFrame:
     """Add the 1-based row number in the group's ``order`` and the group's row count.
 
-    ``slot`` is any column that never decreases along ``order`` (for trials: the
-    minute they happened in). One shuffle of the rows, on (group, slot).
+    ``largest`` is a bound on the rows of a group; without one, groups are counted
+    first. Up to :data:`ONE_TASK` a window per group does both in one shuffle. Beyond,
+    groups are cut by ``slot``, any column that never decreases along ``order`` (for
+    trials: the minute they happened in), and rows are shuffled on (group, slot).
     """
-    slotted = df.withColumn("_g", group_of(keys)).withColumn("_slot", slot)
+    slotted = df.withColumn("_g", group_of(keys))
+    if largest is None:
+        largest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= ONE_TASK:
+        group = Window.partitionBy("_g")
+        return slotted.withColumns({
+            row: F.row_number().over(group.orderBy(*order)).cast("long"), total: F.count("*").over(group),
+        }).drop("_g")
+    slotted = slotted.withColumn("_slot", slot)
     along = Window.partitionBy("_g").orderBy("_slot")
     offsets = (
         slotted.groupBy("_g", "_slot").agg(F.count("*").alias("_n"))
@@ -45,6 +59,11 @@ def numbered(
     )
 
 
+def is_small(hist: DataFrame, entries: int = SMALL) -> bool:
+    """Does a materialised histogram have at most ``entries`` rows in all?"""
+    return hist.count() <= entries
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, count: str = "t", weight: str | None = None) -> DataFrame:
     """Rows reduced to (keys, value) with their count; NULL values are left out.
 
@@ -86,17 +105,18 @@ def _slotted(
 
 def cumulative(
     hist: DataFrame, keys: list[str], value: str, count: str = "t",
-    width: float | None = None, rows: int = 20_000, most: int = 4_000, rounds: int = 2,
+    width: float | None = None, rows: int = 20_000, most: int = 4_000, rounds: int = 2, small: int = SMALL,
 ) -> DataFrame:
     """Add ``before`` (rows with a smaller value in the group) and ``total`` to a histogram.
 
-    ``hist`` should be materialised; up to ``rows`` entries in all are counted by a
+    ``hist`` should be materialised; up to ``small`` entries in all are summed by a
     plain window. Above that groups are cut into slots: ``width`` wide when the
-    measurement has a natural step (1 ms for reaction times), else evenly between
-    the group's extremes, crowded slots once more.
+    measurement has a natural step (1 ms for reaction times), else groups of more
+    than ``rows`` entries evenly between their extremes, crowded slots once more.
     """
+    small_enough = is_small(hist, small)
     hist = hist.withColumn("_g", group_of(keys))
-    if hist.limit(rows + 1).count() <= rows:
+    if small_enough:
         upto = Window.partitionBy("_g").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return hist.withColumns({
             "before": F.sum(count).over(upto) - F.col(count),

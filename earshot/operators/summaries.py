@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.joins import attach
-from earshot.operators.ranks import cumulative, histogram, quantile_from
+from earshot.operators.ranks import cumulative, histogram, is_small, quantile_from
 from earshot.session import cut_lineage
 
 
@@ -70,30 +70,35 @@ def describe(
     histogram of distances to the median.
     """
     hist = histogram(df, by, value, weight=weight)
+    small = is_small(hist)
     cum = cumulative(hist, by, value, width=width)
     cut = F.floor(F.col("total") * F.lit(trim))
     kept = F.greatest(
         F.least(F.col("before") + F.col("t"), F.col("total") - cut) - F.greatest(F.col("before"), cut), F.lit(0)
     )
-    first = cut_lineage(cum.groupBy(*by).agg(
+    first = cum.groupBy(*by).agg(
         F.max("total").alias("n"),
         (F.sum(F.col("t") * F.col(value)) / F.sum("t")).alias("mean"),
         quantile_from(0.5, value).alias("median"),
         (F.sum(kept * F.col(value)) / F.sum(kept)).alias("trimmed"),
         F.min(value).alias("min"), F.max(value).alias("max"),
-    ))
-    around = attach(hist, first.select(*by, "mean", "median"), by).withColumn("_d", F.col(value) - F.col("mean"))
-    power = lambda k: F.sum(F.col("t") * F.pow(F.col("_d"), F.lit(k)))
-    moments = around.groupBy(*by).agg(power(2).alias("_m2"), power(3).alias("_m3"), power(4).alias("_m4"))
-    distances = histogram(
-        around.withColumn("_a", F.abs(F.col(value) - F.col("median"))), by, "_a", weight="t"
-    )
-    mad = cumulative(distances, by, "_a", width=width).groupBy(*by).agg(
-        (F.lit(1.4826) * quantile_from(0.5, "_a")).alias("mad")
     )
+    first = cut_lineage(first)
+    around = attach(hist, first.select(*by, "mean", "median"), by).withColumns({
+        "_d": F.col(value) - F.col("mean"), "_a": F.abs(F.col(value) - F.col("median")),
+    })
+    power = lambda k: F.sum(F.col("t") * F.pow(F.col("_d"), F.lit(k)))
+    moments = [power(2).alias("_m2"), power(3).alias("_m3"), power(4).alias("_m4")]
+    scale = F.lit(1.4826)
+    if small:  # a group's distances fit one task
+        second = around.groupBy(*by).agg(*moments, (scale * F.percentile("_a", F.lit(0.5), F.col("t"))).alias("mad"))
+    else:
+        distances = cumulative(histogram(around, by, "_a", weight="t"), by, "_a", width=width)
+        mad = distances.groupBy(*by).agg((scale * quantile_from(0.5, "_a")).alias("mad"))
+        second = attach(around.groupBy(*by).agg(*moments), mad, by)
     n, sd = F.col("n"), F.col("sd")
     return (
-        attach(attach(first, moments, by), mad, by)
+        attach(first, second, by)
         .withColumn("sd", F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))))
         .withColumns({
             "range": F.col("max") - F.col("min"),
