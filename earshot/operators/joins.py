@@ -22,8 +22,8 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     Meant for right sides that are aggregates: whether they are broadcast is left
     to the adaptive planner, which knows their size when it decides.
     """
-    r = right.withColumn("_g", group_of(keys)).drop(*keys)
-    return left.withColumn("_g", group_of(keys)).join(r, "_g", how).drop("_g")
+    r = right.withColumn("_match", group_of(keys)).drop(*keys)
+    return left.withColumn("_match", group_of(keys)).join(r, "_match", how).drop("_match")
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
@@ -32,11 +32,11 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16)
     Left rows of a key are spread over ``salts`` partitions and the right side is
     repeated once per salt, so no task receives a whole hot key.
     """
-    l = left.withColumn("_g", group_of(keys)).withColumn(
+    l = left.withColumn("_match", group_of(keys)).withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))
     )
     r = (
-        right.withColumn("_g", group_of(keys)).drop(*keys)
+        right.withColumn("_match", group_of(keys)).drop(*keys)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     )
-    return l.join(r, ["_g", "_salt"], "left").drop("_g", "_salt")
+    return l.join(r, ["_match", "_salt"], "left").drop("_match", "_salt")

@@ -108,10 +108,11 @@ def _poly(coefs: list[float], x: Column) -> Column:
 def shapiro(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     """Shapiro-Wilk W and p per group; defined for 3 to 5000 values, else NULL.
 
-    Groups outside that range are counted but never sorted.
+    Groups outside that range are counted but never sorted. The values are
+    checkpointed because they are counted first and sorted then.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    rows = cut_lineage(df.select(*keys, value)).where(F.col(value).isNotNull())
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     fitting = sizes.where(F.col("n").between(FEWEST, MOST))
     small = attach(rows, fitting, keys, "inner") if keys else rows.crossJoin(F.broadcast(fitting))

@@ -95,7 +95,7 @@ SELECT Date, ID, CASE WHEN ID LIKE '%Green%' THEN 'Male' ELSE 'Female' END AS Se
        CASE WHEN Type = 0 OR k % 10 < 5 THEN 0.0::DOUBLE ELSE ([4.0, 8.0, 16.0, 32.0][k % 4 + 1])::DOUBLE END AS Freq,
        CASE WHEN Type = 0 THEN -100.0::DOUBLE ELSE 10.0::DOUBLE * (k // 10) END AS Inten,
        CASE WHEN ID = 'Green 3' AND k % 10 < 5 THEN ([50.0, 100.0, 300.0][CAST(event_id % 3 AS INTEGER) + 1])::DOUBLE
-            ELSE 50.0::DOUBLE END AS Dur,
+            WHEN ID = 'Orange 2' AND k % 10 < 5 THEN ([50.0, 100.0, 300.0][d % 3 + 1])::DOUBLE ELSE 50.0::DOUBLE END AS Dur,
        CASE WHEN Type = 0 THEN CASE WHEN value < 8 THEN 'F.A.' ELSE 'C.R.' END
             WHEN value <= 3 + 1.5::DOUBLE * greatest(10 * (k // 10) - CASE WHEN d > 15 THEN 10 ELSE 0 END, 0) THEN 'Hit'
             ELSE 'Miss' END AS Response,
@@ -105,7 +105,8 @@ CTES["raw_log"] = """
 SELECT Date,
   CASE WHEN day(Date) = 9 THEN 'Did not run' ELSE
     CASE WHEN day(Date) % 4 >= 2 THEN '4-32kHz_MIXdB_50ms' WHEN ID = 'Green 3' THEN 'BBN_30-90dB_50-300ms'
-         ELSE 'BBN_30-90dB_50ms' END || CASE WHEN BG_Type = 'NA' THEN '_4s' ELSE '_BG_PNK_50dB_4s' END END AS File,
+         WHEN ID = 'Orange 2' AND day(Date) % 3 = 1 THEN 'BBN_30-90dB_100ms'
+         WHEN ID = 'Orange 2' AND day(Date) % 3 = 2 THEN 'BBN_30-90dB_300ms' ELSE 'BBN_30-90dB_50ms' END || CASE WHEN BG_Type = 'NA' THEN '_4s' ELSE '_BG_PNK_50dB_4s' END END AS File,
   CAST(200 + day(Date) AS DOUBLE) AS Weight, day(Date) / 10.0::DOUBLE AS WeightChange,
   CAST(n + CASE WHEN day(Date) % 7 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS Trials, Hit, FA,
   CASE WHEN day(Date) % 4 < 2 THEN '25' WHEN day(Date) % 3 = 0 THEN '12, 15.5, 20, 22' WHEN day(Date) % 3 = 1 THEN '25'

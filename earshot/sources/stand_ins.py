@@ -39,6 +39,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", 0).otherwise(1).alias("Type"),
     )
     go, bbn, level = F.col("Type") == 1, F.col("_k") % 10 < 5, (F.floor(F.col("_k") / 10) * 10).cast("double")
+    durations = F.array(F.lit(50.0), F.lit(100.0), F.lit(300.0))
     shift = F.when(F.col("_day") > 15, 10.0).otherwise(0.0)
     hit = F.col("value") <= 3 + 1.5 * F.greatest(level - shift, F.lit(0.0))
     return base.select(
@@ -51,8 +52,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Type",
         F.when(~go | bbn, 0.0).otherwise(F.element_at(F.array(*[F.lit(x) for x in (4.0, 8.0, 16.0, 32.0)]), F.col("_k") % 4 + 1)).alias("Freq"),
         F.when(go, level).otherwise(-100.0).alias("Inten"),
-        F.when((F.col("ID") == "Green 3") & bbn,
-               F.element_at(F.array(*[F.lit(x) for x in (50.0, 100.0, 300.0)]), (F.col("event_id") % 3 + 1).cast("int")))
+        F.when((F.col("ID") == "Green 3") & bbn, F.element_at(durations, (F.col("event_id") % 3 + 1).cast("int")))
+        .when((F.col("ID") == "Orange 2") & bbn, F.element_at(durations, F.col("_day") % 3 + 1))
         .otherwise(50.0).alias("Dur"),
         F.when(~go, F.when(F.col("value") < 8, "F.A.").otherwise("C.R."))
         .otherwise(F.when(hit, "Hit").otherwise("Miss")).alias("Response"),
@@ -77,7 +78,9 @@ def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = (
         F.when(day % 4 >= 2, "4-32kHz_MIXdB_50ms")
-        .when(F.col("ID") == "Green 3", "BBN_30-90dB_50-300ms").otherwise("BBN_30-90dB_50ms")
+        .when(F.col("ID") == "Green 3", "BBN_30-90dB_50-300ms")
+        .when((F.col("ID") == "Orange 2") & (day % 3 == 1), "BBN_30-90dB_100ms")
+        .when((F.col("ID") == "Orange 2") & (day % 3 == 2), "BBN_30-90dB_300ms").otherwise("BBN_30-90dB_50ms")
     )
     ending = F.when(F.col("BG_Type") == "NA", "_4s").otherwise("_BG_PNK_50dB_4s")
     phase_end = (
