@@ -1 +1,8 @@
 """earshot: go/no-go hearing-trial analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# Functions that run in tasks travel with the job, so executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])

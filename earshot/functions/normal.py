@@ -65,6 +65,14 @@ def _poly(coefs: list[float], x):
     return value
 
 
+def _poly_text(coefs: list[float], x: str) -> str:
+    """The same as SQL text."""
+    text = f"{coefs[-1]!r}D"
+    for c in reversed(coefs[:-1]):
+        text = f"({text} * {x} + {c!r}D)"
+    return text
+
+
 def with_probit(df: DataFrame, quantiles: dict[str, Column]) -> DataFrame:
     """Add standard normal quantiles of probability columns; NULL outside (0, 1).
 
@@ -73,24 +81,18 @@ def with_probit(df: DataFrame, quantiles: dict[str, Column]) -> DataFrame:
     """
     names = list(quantiles)
     df = df.withColumns({f"_p_{n}": p.cast("double") for n, p in quantiles.items()})
-    col = lambda part, n: F.col(f"_{part}_{n}")
-    df = df.withColumns({f"_q_{n}": col("p", n) - 0.5 for n in names} | {
-        f"_t_{n}": F.sqrt(-F.log(F.least(col("p", n), 1.0 - col("p", n)))) for n in names
+    df = df.withColumns({f"_q_{n}": F.expr(f"_p_{n} - 0.5D") for n in names} | {
+        f"_t_{n}": F.expr(f"sqrt(-ln(least(_p_{n}, 1D - _p_{n})))") for n in names
     })
-    df = df.withColumns({f"_r_{n}": F.lit(0.180625) - col("q", n) * col("q", n) for n in names} | {
-        f"_m_{n}": col("t", n) - F.when(col("t", n) <= 5.0, 1.6).otherwise(5.0) for n in names
+    df = df.withColumns({f"_r_{n}": F.expr(f"0.180625D - _q_{n} * _q_{n}") for n in names} | {
+        f"_m_{n}": F.expr(f"_t_{n} - if(_t_{n} <= 5D, 1.6D, 5D)") for n in names
     })
-
-    def value(n: str) -> Column:
-        q, r, t, m = col("q", n), col("r", n), col("t", n), col("m", n)
-        central = q * _poly(CENTRAL_NUM, r) / _poly(CENTRAL_DEN, r)
-        outer = F.when(t <= 5.0, _poly(MIDDLE_NUM, m) / _poly(MIDDLE_DEN, m)).otherwise(
-            _poly(FAR_NUM, m) / _poly(FAR_DEN, m)
-        )
-        valid = (col("p", n) > 0.0) & (col("p", n) < 1.0)
-        return F.when(valid & (F.abs(q) <= 0.425), central).when(valid, F.signum(q) * outer)
-
-    df = df.withColumns({n: value(n) for n in names})
+    ratio = lambda num, den, x: f"{_poly_text(num, x)} / {_poly_text(den, x)}"
+    df = df.withColumns({n: F.expr(f"""CASE
+        WHEN NOT (_p_{n} > 0D AND _p_{n} < 1D) THEN NULL
+        WHEN abs(_q_{n}) <= 0.425D THEN _q_{n} * {ratio(CENTRAL_NUM, CENTRAL_DEN, f'_r_{n}')}
+        WHEN _t_{n} <= 5D THEN signum(_q_{n}) * {ratio(MIDDLE_NUM, MIDDLE_DEN, f'_m_{n}')}
+        ELSE signum(_q_{n}) * {ratio(FAR_NUM, FAR_DEN, f'_m_{n}')} END""") for n in names})
     return df.drop(*[f"_{part}_{n}" for part in "pqtrm" for n in names])
 
 

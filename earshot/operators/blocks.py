@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.operators.ranks import numbered
+from earshot.operators.ranks import ONE_TASK, numbered
 from earshot.params import Params
 
 BLOCK_KEYS = ["Date", "ID", "Sex", "Stim"]
@@ -31,12 +31,15 @@ def drop_first_block(
     """Keep rows from the second block to the last whole block of each recording.
 
     Adds ``Blocks_trimmed``, the whole blocks kept, and ``block_row``, the row's
-    place among the kept rows. Recordings under two blocks keep nothing.
+    place among the kept rows. Recordings under two blocks, and those of a stimulus
+    without a block size, keep nothing.
     """
-    sized = trials.withColumn("_m", block_size(params.block_sizes)).where(F.col("_m").isNotNull())
+    sized = trials.withColumn("_m", block_size(params.block_sizes))
+    rows = trials.count()  # for stored trials a look at the file footers; bounds every group
+    largest = rows if rows <= ONE_TASK else None
     blocks = F.floor(F.col("total") / F.col("_m"))
     return (
-        numbered(sized, BLOCK_KEYS, order, slot)
+        numbered(sized, BLOCK_KEYS, order, slot, largest=largest)
         .where((F.col("row") > F.col("_m")) & (F.col("row") <= blocks * F.col("_m")))
         .withColumn("Blocks_trimmed", blocks - 1)
         .withColumn("block_row", F.col("row") - F.col("_m"))

@@ -98,8 +98,11 @@ def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell
     ``_p`` holds the points, ``_cells`` the cells as first and last rank, ``_fits``
     one entry per border that grows from its place and bandwidth to value and slope.
     """
-    halves = """flatten(transform(_cells, c -> if(c.u - c.l + 1 <= _least or c.u <= c.l, array(c), array(
+    cells = "array(named_struct('l', 1L, 'u', bigint(_n)))"
+    halves = """flatten(transform({}, c -> if(c.u - c.l + 1 <= _least or c.u <= c.l, array(c), array(
         named_struct('l', c.l, 'u', (c.l + c.u) div 2), named_struct('l', (c.l + c.u) div 2 + 1, 'u', c.u)))))"""
+    for _ in range(MOST_HALVINGS):
+        cells = halves.format(cells)
     borders = """concat(array(_p[0].x - _w), transform(filter(_cells, c -> c.l > 1),
         c -> (_p[int(c.l) - 2].x + _p[int(c.l) - 1].x) / 2), array(_p[_n - 1].x + _w))"""
     bands = """filter(transform(_borders, v -> named_struct('v', v, 'h',
@@ -118,11 +121,9 @@ def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell
             "_q": F.floor(F.col("_n") * F.lit(span) + F.lit(1e-5)).cast("int"),
             "_least": F.floor(F.col("_n") * F.lit(span * cell)),
             "_w": _widen(F.expr("_p[0].x"), F.expr("_p[_n - 1].x"), margin),
-            "_cells": F.expr("array(named_struct('l', 1L, 'u', bigint(_n)))"),
         })
+        .withColumn("_cells", F.expr(cells))
     )
-    for _ in range(MOST_HALVINGS):
-        curve = curve.withColumn("_cells", F.expr(halves))
     for name, text in (("_borders", borders), ("_fits", bands), ("_fits", near), ("_fits", summed)):
         curve = curve.withColumn(name, F.expr(text))
     enough = F.col("_s.k") >= 3

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from earshot.functions import tails
+from earshot.functions.tails import f_upper, t_two_sided, tukey_quantile, tukey_upper
 from earshot.operators.joins import attach
 
 MOST_LEVELS = 200
@@ -188,7 +188,7 @@ def anova(df: DataFrame, y: str, terms: list[tuple], factors, keys: list[str] =
                 continue
             ss = sum(s.column_ss(j) for j in columns)
             f = ss / len(columns) / ms if ms else None
-            p = tails.f_upper(f, len(columns), s.residual_df) if f is not None else None
+            p = f_upper(f, len(columns), s.residual_df) if f is not None else None
             yield [i + 1, design.term_name(i), len(columns), ss, ss / len(columns), f, p]
         yield [len(terms) + 1, "Residuals", int(s.residual_df), s.residual_ss, ms, None, None]
 
@@ -207,7 +207,7 @@ def coefficients(df: DataFrame, y: str, terms: list[tuple], factors, keys: list[
         for i, j in enumerate(s.kept):
             se = float(np.sqrt(inverse[i, i] * ms)) if ms is not None else None
             t = float(values[i]) / se if se else None
-            p = tails.t_two_sided(t, s.residual_df) if t is not None else None
+            p = t_two_sided(t, s.residual_df) if t is not None else None
             yield [j, design.name(j), float(values[i]), se, t, p]
 
     fields = "position int, coefficient string, estimate double, std_error double, t double, p double"
@@ -252,12 +252,12 @@ def tukey(
         if ordered:
             present.sort(key=lambda i: means[i])
         ms = s.residual_ss / s.residual_df
-        reach = tails.tukey_quantile(level, len(present), s.residual_df)
+        reach = tukey_quantile(level, len(present), s.residual_df)
         for a, low in enumerate(present):
             for high in present[a + 1:]:
                 diff = float(means[high] - means[low])
                 se = float(np.sqrt(ms / 2 * (1 / counts[high] + 1 / counts[low])))
-                p = tails.tukey_upper(abs(diff) / se, len(present), s.residual_df) if se > 0 else None
+                p = tukey_upper(abs(diff) / se, len(present), s.residual_df) if se > 0 else None
                 yield [factor, f"{names[high]}-{names[low]}", diff, diff - reach * se, diff + reach * se, p]
 
     fields = "term string, contrast string, estimate double, lower double, upper double, p double"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.operators.joins import attach
+from earshot.operators.joins import attach, group_of
 from earshot.operators.ranks import cumulative, histogram, is_small, quantile_from
 from earshot.session import cut_lineage
 
@@ -65,40 +65,14 @@ def describe(
 ) -> DataFrame:
     """n, mean, sd, median, trimmed mean, MAD, min, max, range, skew, kurtosis and se per group.
 
-    The rows are reduced to (group, value, count), which is checkpointed because
-    every later step works on it. Moments are taken around the mean in a second pass, MAD from the
-    histogram of distances to the median.
+    The rows are reduced to (group, value, count) and every later step works on
+    that. Moments are taken around the mean, MAD from the distances to the median.
     """
     hist = histogram(df, by, value, weight=weight)
-    small = is_small(hist)
-    cum = cumulative(hist, by, value, width=width)
-    cut = F.floor(F.col("total") * F.lit(trim))
-    kept = F.greatest(
-        F.least(F.col("before") + F.col("t"), F.col("total") - cut) - F.greatest(F.col("before"), cut), F.lit(0)
-    )
-    first = cum.groupBy(*by).agg(
-        F.max("total").alias("n"),
-        (F.sum(F.col("t") * F.col(value)) / F.sum("t")).alias("mean"),
-        quantile_from(0.5, value).alias("median"),
-        (F.sum(kept * F.col(value)) / F.sum(kept)).alias("trimmed"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-    )
-    first = cut_lineage(first)
-    around = attach(hist, first.select(*by, "mean", "median"), by).withColumns({
-        "_d": F.col(value) - F.col("mean"), "_a": F.abs(F.col(value) - F.col("median")),
-    })
-    power = lambda k: F.sum(F.col("t") * F.pow(F.col("_d"), F.lit(k)))
-    moments = [power(2).alias("_m2"), power(3).alias("_m3"), power(4).alias("_m4")]
-    scale = F.lit(1.4826)
-    if small:  # a group's distances fit one task
-        second = around.groupBy(*by).agg(*moments, (scale * F.percentile("_a", F.lit(0.5), F.col("t"))).alias("mad"))
-    else:
-        distances = cumulative(histogram(around, by, "_a", weight="t"), by, "_a", width=width)
-        mad = distances.groupBy(*by).agg((scale * quantile_from(0.5, "_a")).alias("mad"))
-        second = attach(around.groupBy(*by).agg(*moments), mad, by)
+    two_steps = _describe_small if is_small(hist) else _describe_large
     n, sd = F.col("n"), F.col("sd")
     return (
-        attach(first, second, by)
+        two_steps(hist, by, value, width, trim)
         .withColumn("sd", F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))))
         .withColumns({
             "range": F.col("max") - F.col("min"),
@@ -110,27 +84,92 @@ def describe(
     )
 
 
+MAD_SCALE = 1.4826
+
+
+def _kept(trim: float) -> Column:
+    """How many of an entry's rows the trimmed mean keeps."""
+    cut = F.floor(F.col("total") * F.lit(trim))
+    return F.greatest(
+        F.least(F.col("before") + F.col("t"), F.col("total") - cut) - F.greatest(F.col("before"), cut), F.lit(0)
+    )
+
+
+def _moments(value: str) -> list[Column]:
+    d = F.col(value) - F.col("mean")
+    return [F.sum(F.col("t") * F.pow(d, F.lit(k))).alias(f"_m{k}") for k in (2, 3, 4)]
+
+
+def _describe_small(hist: DataFrame, by: list[str], value: str, width: float | None, trim: float) -> DataFrame:
+    """Every group fits one task: windows and one aggregate on the same partitioning."""
+    group = Window.partitionBy("_g")
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t, v = F.col("t"), F.col(value)
+    return (
+        hist.withColumn("_g", group_of(by))
+        .withColumns({
+            "before": F.sum("t").over(upto) - t, "total": F.sum("t").over(group),
+            "mean": F.sum(t * v).over(group) / F.sum("t").over(group),
+            "median": F.percentile(value, F.lit(0.5), t).over(group),
+        })
+        .withColumns({"_kept": _kept(trim), "_a": F.abs(v - F.col("median"))})
+        .groupBy("_g").agg(
+            *[F.first(k).alias(k) for k in by],
+            F.first("total").alias("n"), F.first("mean").alias("mean"), F.first("median").alias("median"),
+            (F.sum(F.col("_kept") * v) / F.sum("_kept")).alias("trimmed"),
+            F.min(value).alias("min"), F.max(value).alias("max"),
+            (F.lit(MAD_SCALE) * F.percentile("_a", F.lit(0.5), t)).alias("mad"), *_moments(value),
+        )
+        .drop("_g")
+    )
+
+
+def _describe_large(hist: DataFrame, by: list[str], value: str, width: float | None, trim: float) -> DataFrame:
+    """Any size: places in the order from slots, and only sums and extremes per group."""
+    cum = cumulative(hist, by, value, width=width)
+    kept = _kept(trim)
+    first = cut_lineage(cum.groupBy(*by).agg(
+        F.max("total").alias("n"),
+        (F.sum(F.col("t") * F.col(value)) / F.sum("t")).alias("mean"),
+        quantile_from(0.5, value).alias("median"),
+        (F.sum(kept * F.col(value)) / F.sum(kept)).alias("trimmed"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+    ))
+    around = attach(hist, first.select(*by, "mean", "median"), by)
+    distances = histogram(around.withColumn("_a", F.abs(F.col(value) - F.col("median"))), by, "_a", weight="t")
+    mad = cumulative(distances, by, "_a", width=width).groupBy(*by).agg(
+        (F.lit(MAD_SCALE) * quantile_from(0.5, "_a")).alias("mad")
+    )
+    return attach(attach(first, around.groupBy(*by).agg(*_moments(value)), by), mad, by)
+
+
 def box(df: DataFrame, by: list[str], value: str, width: float | None = None) -> DataFrame:
     """Quartiles, whiskers (last value within 1.5 box heights) and number of outliers."""
     return _box(histogram(df, by, value), by, value, width)
 
 
 def _box(hist: DataFrame, by: list[str], value: str, width: float | None) -> DataFrame:
+    t, v = F.col("t"), F.col(value)
+    reach = 1.5 * (F.col("upper") - F.col("lower"))
+    inside = v.between(F.col("lower") - reach, F.col("upper") + reach)
+    whiskers = [
+        F.min(F.when(inside, v)).alias("ymin"), F.max(F.when(inside, v)).alias("ymax"),
+        F.sum(F.when(inside, 0).otherwise(t)).alias("outliers"),
+    ]
+    if is_small(hist):
+        group = Window.partitionBy("_g")
+        at = lambda p: F.percentile(value, F.lit(p), t).over(group)
+        return (
+            hist.withColumn("_g", group_of(by))
+            .withColumns({"n": F.sum("t").over(group), "lower": at(0.25), "middle": at(0.5), "upper": at(0.75)})
+            .groupBy("_g").agg(*[F.first(c).alias(c) for c in [*by, "n", "lower", "middle", "upper"]], *whiskers).drop("_g")
+        )
     cum = cut_lineage(cumulative(hist, by, value, width=width))
     quartiles = cum.groupBy(*by).agg(
-        F.max("total").alias("n"),
-        quantile_from(0.25, value).alias("lower"),
-        quantile_from(0.5, value).alias("middle"),
-        quantile_from(0.75, value).alias("upper"),
-    )
-    reach = 1.5 * (F.col("upper") - F.col("lower"))
-    inside = F.col(value).between(F.col("lower") - reach, F.col("upper") + reach)
-    whiskers = attach(cum.select(*by, value, "t"), quartiles, by).groupBy(*by).agg(
-        F.min(F.when(inside, F.col(value))).alias("ymin"),
-        F.max(F.when(inside, F.col(value))).alias("ymax"),
-        F.sum(F.when(inside, 0).otherwise(F.col("t"))).alias("outliers"),
+        F.max("total").alias("n"), quantile_from(0.25, value).alias("lower"),
+        quantile_from(0.5, value).alias("middle"), quantile_from(0.75, value).alias("upper"),
     )
-    return attach(quartiles, whiskers, by)
+    return attach(quartiles, attach(cum.select(*by, value, "t"), quartiles, by).groupBy(*by).agg(*whiskers), by)
 
 
 def outliers(df: DataFrame, by: list[str], value: str, width: float | None = None) -> DataFrame:
