@@ -27,15 +27,13 @@ def cutoffs(th_long: DataFrame, match_background_type: bool = False) -> DataFram
     Without ``match_background_type`` the first background type by name decides.
     """
     setting = ["ID", "Condition", "BG_Intensity", "Dur"]
-    if match_background_type:
-        setting.append("BG_Type")
-        return th_long.groupBy(*setting).agg(
-            F.map_from_entries(F.collect_list(F.struct("Type", "TH"))).alias("_by_type")
-        )
-    first = th_long.groupBy(*setting, "BG_Type").agg(
-        F.map_from_entries(F.collect_list(F.struct("Type", "TH"))).alias("_by_type")
+    one = th_long.groupBy(*setting, "BG_Type", "Type").agg(F.min_by("TH", "Sex").alias("TH"))
+    by_type = one.groupBy(*setting, "BG_Type").agg(
+        F.map_from_entries(F.collect_list(F.struct("Type", "TH"))).alias("_by_type")  # one entry per stimulus
     )
-    return first.groupBy(*setting).agg(F.min_by("_by_type", "BG_Type").alias("_by_type"))
+    if match_background_type:
+        return by_type
+    return by_type.groupBy(*setting).agg(F.min_by("_by_type", "BG_Type").alias("_by_type"))
 
 
 def over_threshold(hits: DataFrame, th_long: DataFrame, match_background_type: bool = False) -> DataFrame:

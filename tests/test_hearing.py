@@ -128,9 +128,9 @@ def test_cutoff_rules(spark):
     hits = spark.createDataFrame(
         [(i, "Baseline", "NA", "NA", 50.0, f, l) for i in ("known", "null", "none") for f in (0.0, 4.0) for l in (10.0, 40.0)], trial)
     th = spark.createDataFrame([
-        ("known", "Baseline", "NA", "NA", 50.0, "BBN", 20.0), ("known", "Baseline", "NA", "NA", 50.0, "4kHz", 10.0),
-        ("null", "Baseline", "NA", "NA", 50.0, "BBN", None),
-    ], "ID string, Condition string, BG_Type string, BG_Intensity string, Dur double, Type string, TH double")
+        ("Male", "known", "Baseline", "NA", "NA", 50.0, "BBN", 20.0), ("Male", "known", "Baseline", "NA", "NA", 50.0, "4kHz", 10.0),
+        ("Male", "null", "Baseline", "NA", "NA", 50.0, "BBN", None),
+    ], "Sex string, ID string, Condition string, BG_Type string, BG_Intensity string, Dur double, Type string, TH double")
     got = {(r.ID, r.Freq, r.Inten) for r in reaction.over_threshold(hits, th).collect()}
     # A setting known for one stimulus counts as known, with no threshold, for the others.
     assert got == {("known", 0.0, 40.0), ("known", 4.0, 10.0), ("known", 4.0, 40.0)} | {
