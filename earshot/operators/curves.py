@@ -127,13 +127,15 @@ def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell
     for name, text in (("_borders", borders), ("_fits", bands), ("_fits", near), ("_fits", summed)):
         curve = curve.withColumn(name, F.expr(text))
     enough = F.col("_s.k") >= 3
-    fits = (
-        curve.select(*keys, F.explode("_fits").alias("_s"))
-        .select(*keys, F.struct(F.col("_s.v").alias("v"), F.when(enough, value).alias("f"),
-                                F.when(enough, slope / F.col("_s.h")).alias("d")).alias("_fit"))
-        .groupBy(*keys).agg(F.array_sort(F.collect_list("_fit")).alias("_fits"))
+    rows = (
+        curve.select(*keys, "_p", F.explode_outer("_fits").alias("_s"))
+        .select(*keys, "_p", F.struct(F.col("_s.v").alias("v"), F.when(enough, value).alias("f"),
+                                      F.when(enough, slope / F.col("_s.h")).alias("d")).alias("_fit"))
+        .groupBy(*keys).agg(F.array_sort(F.collect_list("_fit")).alias("_fits"), F.first("_p").alias("_p"))
+        .select(*keys, "_fits", F.explode("_p").alias("_e"))
+        .select(*keys, "_fits", F.col("_e.x").alias(x), F.col("_e.y").alias(y))
     )
-    return _blend(attach(pts.select(*keys, x, y), fits, keys), x)
+    return _blend(rows, x)
 
 
 def _blend(rows: DataFrame, x: str) -> DataFrame:

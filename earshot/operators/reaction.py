@@ -20,34 +20,33 @@ def go_hits(trials: DataFrame) -> DataFrame:
     return trials.where((F.col("Type") == 1) & (F.col("Response") == "Hit") & (F.col("Inten") != NO_GO_LEVEL))
 
 
-def cutoffs(th_long: DataFrame, match_background_type: bool = False) -> DataFrame:
-    """One cutoff per subject, condition, background level, duration and stimulus.
+def _setting(match_background_type: bool) -> list[str]:
+    return ["ID", "Condition", "BG_Intensity", "Dur"] + (["BG_Type"] if match_background_type else [])
 
-    A setting counts as known for every stimulus once it has any threshold row.
-    Without ``match_background_type`` the first background type by name decides.
+
+def known_thresholds(th_long: DataFrame, setting: list[str]) -> DataFrame:
+    """All thresholds of a setting in one row, ordered by background type and stimulus.
+
+    As many entries as the setting has backgrounds and stimuli.
     """
-    setting = ["ID", "Condition", "BG_Intensity", "Dur"]
-    one = th_long.groupBy(*setting, "BG_Type", "Type").agg(F.min_by("TH", "Sex").alias("TH"))
-    by_type = one.groupBy(*setting, "BG_Type").agg(
-        F.map_from_entries(F.collect_list(F.struct("Type", "TH"))).alias("_by_type")  # one entry per stimulus
-    )
-    if match_background_type:
-        return by_type
-    return by_type.groupBy(*setting).agg(F.min_by("_by_type", "BG_Type").alias("_by_type"))
+    entry = F.struct(F.col("BG_Type").alias("bg"), F.col("Type").alias("kind"), "Sex", "TH")
+    return th_long.groupBy(*setting).agg(F.array_sort(F.collect_list(entry)).alias("_known"))
 
 
 def over_threshold(hits: DataFrame, th_long: DataFrame, match_background_type: bool = False) -> DataFrame:
     """Rows at or above their setting's cutoff.
 
     A setting without any threshold row keeps everything; one whose threshold for
-    the stimulus is NULL keeps nothing. Works on trials and on counted trials.
+    the stimulus is NULL or missing keeps nothing. Without ``match_background_type``
+    the first background type by name decides. Works on trials and on counted trials.
     """
-    setting = ["ID", "Condition", "BG_Intensity", "Dur"] + (["BG_Type"] if match_background_type else [])
-    kind = stim_kind(F.col("Freq"))
-    cut = F.when(F.col("_by_type").isNull(), NO_THRESHOLD).otherwise(F.try_element_at("_by_type", kind))
+    setting = _setting(match_background_type)
+    own = F.expr("get(filter(_known, e -> e.bg <=> _known[0].bg AND e.kind = _kind), 0).TH")
+    cut = F.when(F.col("_known").isNull(), NO_THRESHOLD).otherwise(own)
     return (
-        lookup(hits, cutoffs(th_long, match_background_type), setting)
-        .where(F.col("Inten") >= cut).drop("_by_type")
+        lookup(hits, known_thresholds(th_long, setting), setting)
+        .withColumn("_kind", stim_kind(F.col("Freq")))
+        .where(F.col("Inten") >= cut).drop("_known", "_kind")
     )
 
 
