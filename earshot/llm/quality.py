@@ -27,7 +27,7 @@ LEAST_WORDS = 10
 WINDOW = 5  # words of the base rule's repeated windows
 MOST_REPEATED = 0.20  # share of words in repeated windows
 LEAST_REPEAT = 10  # words of a repeat that counts for the verdict
-MOST_COVERED = 0.15  # share of the words' characters that repeats cover
+MOST_COVERED = 0.20  # share of the words' characters that repeats cover
 MOST_LONGEST = 0.30  # share of words in the longest repeat
 SYMBOLS = b"#*$%&|<>"  # fixed values
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_chars", "longest_repeat"]
