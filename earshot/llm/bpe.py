@@ -23,90 +23,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept with their ids in each Python worker, and the longest such piece: bounds on memory, not on input.
-KEPT_PIECES, KEPT_CHARS = 200_000, 40
-FAN = 6  # 64 entries in each word of the bitmap
-
-
-class RankQueue:
-    """Positions by rank, the least rank and then the least position first."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[dict[int, int]] = [{}, {}, {}, {}]
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word, bit = at >> FAN, 1 << (at & 63)
-            before = level.get(word, 0)
-            level[word] = before | bit
-            if before:
-                return
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for level in reversed(self.levels):
-            bits = level.get(at, 0)
-            if not bits:
-                return None
-            at = at << FAN | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            self._clear(at)
-        return at, position
+KEPT_PIECES, KEPT_CHARS = 1_000_000, 40
+FAN, LOW = 8, 255  # 256 ranks in each word of the bitmap
+ID_BITS = 24  # ids lie below 2**24
+
 
-    def _clear(self, at: int) -> None:
-        for level in self.levels:
-            word = at >> FAN
-            level[word] &= ~(1 << (at & 63))
-            if level[word]:
-                return
-            at = word
+class Merges:
+    """Ranks of pairs of tokens, keyed by both ids, beside the ranks of whole pieces."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.byte_ids = [ranks[bytes([i])] if bytes([i]) in ranks else -1 for i in range(256)]
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << ID_BITS | right] = rank
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, merges: Merges) -> list[int]:
     """Token ids of one piece: always the pair of least rank, the leftmost of equal ones."""
-    whole = ranks.get(piece)
+    whole = merges.ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
+    n, rank_of = len(piece), merges.pairs.get
+    ids = [merges.byte_ids[b] for b in piece]
+    due = [rank_of(a << ID_BITS | b, -1) for a, b in zip(ids, ids[1:])]  # rank of the pair that starts here
+    due.append(-1)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    due = [-1] * n  # rank of the pair that starts here
-    queue = RankQueue()
-
-    def offer(at: int) -> None:
-        mid = after[at]
-        rank = ranks.get(piece[at:after[mid]], -1) if mid < n else -1
-        due[at] = rank
+    buckets: dict[int, list[int]] = {}  # rank: heap of positions
+    words: dict[int, int] = {}  # lower level of the bitmap: 256 ranks each
+    top = 0  # upper level: the words that are not empty
+    for at, rank in enumerate(due):
         if rank >= 0:
-            queue.push(rank, at)
-
-    for i in range(n - 1):
-        offer(i)
-    while (top := queue.pop()) is not None:
-        rank, at = top
+            if rank in buckets:
+                buckets[rank].append(at)  # ascending, so a heap already
+            else:
+                buckets[rank] = [at]
+                word = rank >> FAN
+                words[word] = words.get(word, 0) | 1 << (rank & LOW)
+                top |= 1 << word
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        rank = word << FAN | (bits & -bits).bit_length() - 1
+        bucket = buckets[rank]
+        at = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            words[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
         if due[at] != rank:
-            continue  # stale: the pair went into another token
+            continue  # stale: the pair has gone into another token
         gone = after[at]
-        due[gone] = -1
+        ids[at], ids[gone], due[gone] = rank, -1, -1
         after[at] = end = after[gone]
+        due[at] = -1
         if end < n:
             before[end] = at
-        offer(at)
-        if before[at] >= 0:
-            offer(before[at])
-    ids, at = [], 0
-    while at < n:
-        ids.append(ranks[piece[at:after[at]]])
-        at = after[at]
-    return ids
+            due[at] = new = rank_of(rank << ID_BITS | ids[end], -1)
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    word = new >> FAN
+                    words[word] = words.get(word, 0) | 1 << (new & LOW)
+                    top |= 1 << word
+        at = before[at]
+        if at >= 0:
+            due[at] = new = rank_of(ids[at] << ID_BITS | rank, -1)
+            if new >= 0:
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    word = new >> FAN
+                    words[word] = words.get(word, 0) | 1 << (new & LOW)
+                    top |= 1 << word
+    return [i for i in ids if i >= 0]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -152,11 +149,11 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], patterns: tuple[str, str]) -> None:
         super().__init__()
-        self.ranks = ranks
+        self.merges = Merges(ranks)
         self.latin, self.any = (re.compile(p) for p in patterns)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", merge(piece.encode(), self.ranks)).tobytes()
+        ids = array("I", merge(piece.encode(), self.merges)).tobytes()
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
                 self.clear()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +22,10 @@ def written(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return df.checkpoint()
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Inner join of many rows to one row per key; rows of a hot key are spread by the hash in column ``by``."""
+    salt = F.pmod(F.col(by), F.lit(salts)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"]).drop("_salt")

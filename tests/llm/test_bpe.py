@@ -26,17 +26,24 @@ def coder(ranks):
     return bpe.Encoder(ranks, bpe.split_patterns(public_tokenizers.PATTERN))
 
 
-def test_queue_gives_least_rank_then_leftmost():
-    rnd, queue, want = random.Random(1), bpe.RankQueue(), []
-    for _ in range(3000):
-        if want and rnd.random() < 0.4:
-            want.sort()
-            assert queue.pop() == want.pop(0)
-        else:
-            entry = (rnd.choice([0, 63, 64, 4095, 4096, 50255, 262144, rnd.randrange(60000)]), rnd.randrange(10**6))
-            queue.push(*entry)
-            want.append(entry)
-    assert [queue.pop() for _ in want] == sorted(want) and queue.pop() is None
+def test_merge_is_least_rank_then_leftmost():
+    rnd = random.Random(1)
+    for _ in range(400):
+        ranks = {bytes([c]): i for i, c in enumerate(b"abc")}
+        free = rnd.sample(range(3, 70000), 40)
+        for rank in free:
+            ranks.setdefault(bytes(rnd.choices(b"abc", k=rnd.choice([2, 2, 2, 3, 4, 5]))), rank)
+        piece = bytes(rnd.choices(b"abc", k=rnd.randrange(1, 40)))
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        if piece in ranks:
+            parts = [piece]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                break
+            _, i = min(pairs)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.merge(piece, bpe.Merges(ranks)) == [ranks[p] for p in parts]
 
 
 @settings(max_examples=200, deadline=None)
