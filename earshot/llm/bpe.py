@@ -4,7 +4,8 @@ A text is cut by the tokenizer's pattern; each piece that is not a token itself
 by the ranks. Merging uses a rank queue: one bucket of linked-list positions per rank, and
 a hierarchical bitmap over the ranks in which find-first-set gives the next one, so that a
 piece of n bytes takes O(n log n) steps however long it is. Entries whose pair has changed
-since they were queued are skipped when they come up.
+since they were queued are skipped when they come up. Short pieces that are new to a Python
+worker share one queue, whose buckets are worked off by array operations.
 
 Texts are encoded where they lie; nothing is shuffled. NULL and empty texts give no ids.
 Ids are kept as little-endian unsigned 32-bit integers in a binary column.
@@ -18,12 +19,15 @@ from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept with their ids in each Python worker, and the longest such piece: bounds on memory, not on input.
 KEPT_PIECES, KEPT_CHARS = 1_000_000, 40
+BATCH_CHARS = 8_000_000  # texts whose new pieces are merged together
+LONG = 200  # bytes from which a piece is merged by itself
 FAN, LOW = 8, 255  # 256 ranks in each word of the bitmap
 ID_BITS = 24  # ids lie below 2**24
 
@@ -40,6 +44,18 @@ class Merges:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << ID_BITS | right] = rank
+        self.byte_ids_array = np.array(self.byte_ids, np.int64)
+        self.keys = np.array(sorted(self.pairs), np.int64)
+        self.values = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
+        every = np.arange(256)
+        self.byte_pairs = self.lookup(self.byte_ids_array[every][:, None] << ID_BITS | self.byte_ids_array[every]).reshape(256, 256)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, -1 where a pair is no token."""
+        if not len(self.keys):
+            return np.full(keys.shape, -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
 
 
 def merge(piece: bytes, merges: Merges) -> list[int]:
@@ -106,6 +122,68 @@ def merge(piece: bytes, merges: Merges) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def merge_many(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """Ids (as bytes) of many short pieces at once, by one queue for all of them.
+
+    A bucket then holds positions of several pieces; of each piece the leftmost is merged,
+    the others wait in the bucket, so every piece goes through the steps of ``merge``.
+    """
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    raw, n = np.frombuffer(b"".join(pieces), np.uint8), int(first[-1])
+    piece = np.repeat(np.arange(len(pieces)), sizes)
+    ids = merges.byte_ids_array[raw]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[first[1:] - 1], before[first[:-1]] = n, -1
+    due = np.append(merges.byte_pairs[raw[:-1], raw[1:]], -1)
+    due[first[1:] - 1] = -1
+    order = np.argsort(due, kind="stable")
+    order = order[np.searchsorted(due[order], 0):]
+    starts = np.flatnonzero(np.diff(due[order], prepend=-1))
+    buckets = {int(due[part[0]]): part.tolist() for part in np.split(order, starts[1:]) if len(part)}
+    words: dict[int, int] = {}
+    for rank in buckets:
+        words[rank >> FAN] = words.get(rank >> FAN, 0) | 1 << (rank & LOW)
+    top = sum(1 << word for word in words)
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        rank = word << FAN | (bits & -bits).bit_length() - 1
+        at = np.array(buckets.pop(rank))
+        at = np.sort(at[due[at] == rank])  # the rest is stale
+        lead = np.diff(piece[at], prepend=-1) != 0
+        if lead.all():
+            words[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+        else:
+            buckets[rank] = at[~lead].tolist()
+            at = at[lead]
+        gone = after[at]
+        end = after[gone]
+        ids[at], ids[gone], due[gone], due[at], after[at] = rank, -1, -1, -1, end
+        inner = end < n
+        right, end, left = at[inner], end[inner], before[at]
+        before[end] = right
+        left = left[left >= 0]
+        changed = np.concatenate([right, left])
+        new = merges.lookup(np.concatenate([ids[end] | rank << ID_BITS, ids[left] << ID_BITS | rank]))
+        due[changed] = new
+        some = new >= 0
+        for rank, i in zip(new[some].tolist(), changed[some].tolist()):
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> FAN
+                words[word] = words.get(word, 0) | 1 << (rank & LOW)
+                top |= 1 << word
+    kept = ids >= 0
+    ends = (np.append(0, np.cumsum(kept))[first] * 4).tolist()
+    out = ids[kept].astype("<u4").tobytes()
+    return [out[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """A vocabulary file (``path`` is local to the driver; the ranks travel with the job)."""
     with open(path, "rb") as lines:
@@ -145,40 +223,68 @@ def split_patterns(pattern: str) -> tuple[str, str]:
 
 
 class Encoder(dict):
-    """Ids of pieces as bytes; frequent short pieces are remembered."""
+    """Ids of pieces as bytes; short pieces are remembered."""
+
+    def __bool__(self) -> bool:
+        return True
 
     def __init__(self, ranks: dict[bytes, int], patterns: tuple[str, str]) -> None:
         super().__init__()
         self.merges = Merges(ranks)
         self.latin, self.any = (re.compile(p) for p in patterns)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I", merge(piece.encode(), self.merges)).tobytes()
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
+    def _found(self, text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
         try:
             text.encode("latin-1")
-            found = self.latin.findall(text)
+            return self.latin.findall(text)
         except UnicodeEncodeError:
-            found = self.any.findall(text)
-        return b"".join(map(self.__getitem__, found))
+            return self.any.findall(text)
+
+    def _learn(self, pieces: set[str]) -> None:
+        ranks, several = self.merges.ranks, []
+        for piece in pieces:
+            raw = piece.encode()
+            whole = ranks.get(raw)
+            if whole is not None:
+                self[piece] = whole.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                self[piece] = array("I", merge(raw, self.merges)).tobytes()
+            else:
+                several.append((piece, raw))
+        if several:
+            self.update(zip((p for p, _ in several), merge_many([raw for _, raw in several], self.merges)))
+
+    def encode(self, texts: list) -> list[bytes]:
+        """Ids of each text."""
+        out, i = [], 0
+        while i < len(texts):
+            found, chars = [], 0
+            while i < len(texts) and chars < BATCH_CHARS:
+                found.append(self._found(texts[i]))
+                chars += len(texts[i] or "")
+                i += 1
+            new = {piece for pieces in found for piece in pieces if piece not in self}
+            self._learn(new)
+            out.extend(b"".join(map(self.__getitem__, pieces)) for pieces in found)
+            for piece in new:
+                if len(piece) > KEPT_CHARS:
+                    del self[piece]
+            if len(self) > KEPT_PIECES:
+                self.clear()
+        return out
 
 
 def encoder(spark, ranks: dict[bytes, int], pattern: str):
     """A column function: text to ids."""
-    shared = spark.sparkContext.broadcast((ranks, split_patterns(pattern)))
+    shared = spark.sparkContext.broadcast({"parts": (ranks, split_patterns(pattern))})
 
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Encoder(*shared.value)
+        state = shared.value  # one object per Python worker, so the coder lasts for all its tasks
+        coder = state["coder"] = state.get("coder") or Encoder(*state["parts"])
         for texts in batches:
-            yield texts.map(coder.encode, na_action=None) if len(texts) else pd.Series([], dtype=object)
+            yield pd.Series(coder.encode(texts.tolist()), dtype=object)
 
     encoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(encoded, "binary")
@@ -191,7 +297,7 @@ def decoder(spark, ranks: dict[bytes, int]):
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         part = shared.value.__getitem__
         for column in batches:
-            yield column.map(lambda ids: b"".join(map(part, array("I", ids))))
+            yield pd.Series([b"".join(map(part, array("I", ids))) for ids in column], dtype=object)
 
     decoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(decoded, "binary")

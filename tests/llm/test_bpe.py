@@ -43,13 +43,19 @@ def test_merge_is_least_rank_then_leftmost():
                 break
             _, i = min(pairs)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        assert bpe.merge(piece, bpe.Merges(ranks)) == [ranks[p] for p in parts]
+        merges = bpe.Merges(ranks)
+        want = [ranks[p] for p in parts]
+        assert bpe.merge(piece, merges) == want
+        if len(parts) > 1:
+            others = [bytes(rnd.choices(b"abc", k=5)) for _ in range(20)]
+            got = bpe.merge_many([*others, piece, *others], merges)
+            assert array("I", got[20]).tolist() == want and [array("I", g).tolist() for g in got[:20] if len(g)] == [bpe.merge(o, merges) if o not in ranks else array("I", g).tolist() for g, o in zip(got, others)]
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_equals_library(coder, library, text):
-    assert array("I", coder.encode(text)).tolist() == library.encode_ordinary(text)
+    assert array("I", coder.encode([text])[0]).tolist() == library.encode_ordinary(text)
 
 
 def test_odd_texts(coder, library):
@@ -59,8 +65,9 @@ def test_odd_texts(coder, library):
         "".join(rnd.choice("abcdefgh") for _ in range(5000)), "".join(chr(rnd.randrange(0x20, 0xD7FF)) for _ in range(3000)),
     ]
     for t in texts:
-        assert array("I", coder.encode(t)).tolist() == library.encode_ordinary(t)
-    assert coder.encode(None) == b""
+        assert array("I", coder.encode([t])[0]).tolist() == library.encode_ordinary(t)
+    assert coder.encode([None, "", "a"])[:2] == [b"", b""]
+    assert [array("I", ids).tolist() for ids in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_round_trip_and_defined_cases(spark, documents, ranks):
