@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept with their ids in each Python worker, and the longest such piece: bounds on memory, not on input.
-KEPT_PIECES, KEPT_CHARS = 1_000_000, 40
-BATCH_CHARS = 8_000_000  # texts whose new pieces are merged together
+KEPT_PIECES, KEPT_CHARS = 500_000, 40
+BATCH_CHARS = 3_000_000  # texts whose new pieces are merged together
 LONG = 200  # bytes from which a piece is merged by itself
 FAN, LOW = 8, 255  # 256 ranks in each word of the bitmap
 ID_BITS = 24  # ids lie below 2**24
@@ -295,14 +295,33 @@ def decoder(spark, ranks: dict[bytes, int]):
     shared = spark.sparkContext.broadcast({i: b for b, i in ranks.items()})
 
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        part = shared.value.__getitem__
         for column in batches:
-            yield pd.Series([b"".join(map(part, array("I", ids))) for ids in column], dtype=object)
+            yield pd.Series([joined(ids, shared.value) for ids in column], dtype=object)
 
     decoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(decoded, "binary")
 
 
+def joined(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, array("I", ids)))
+
+
+def round_trip(spark, ranks: dict[bytes, int], pattern: str):
+    """A column function: text to its ids and the bytes these decode to, in one Python worker."""
+    shared = spark.sparkContext.broadcast({"parts": (ranks, split_patterns(pattern))})
+
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        state = shared.value
+        coder = state["coder"] = state.get("coder") or Encoder(*state["parts"])
+        tokens = state["tokens"] = state.get("tokens") or {i: b for b, i in state["parts"][0].items()}
+        for texts in batches:
+            ids = coder.encode(texts.tolist())
+            yield pd.DataFrame({"token_ids": ids, "decoded": [joined(i, tokens) for i in ids]}, dtype=object)
+
+    both.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(both, "token_ids binary, decoded binary")
+
+
 def id_count(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
@@ -315,3 +334,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """The table with the bytes of the ids in column ``out``."""
     return docs.withColumn(out, decoder(docs.sparkSession, ranks)(F.col(f"`{ids}`")))
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """The table with columns ``token_ids`` and ``decoded``: what ``encode`` and ``decode`` give, in one pass."""
+    both = docs.withColumn("_coded", round_trip(docs.sparkSession, ranks, pattern)(F.col(f"`{text}`").cast("string")))
+    return both.withColumns({c: F.col("_coded")[c] for c in ("token_ids", "decoded")}).drop("_coded")

@@ -15,8 +15,7 @@ from earshot.llm.tables import table
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, ranks).select(
+    return bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", bpe.id_count(F.col("token_ids")).alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

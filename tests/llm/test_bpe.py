@@ -75,4 +75,7 @@ def test_round_trip_and_defined_cases(spark, documents, ranks):
     out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, out="back").collect()
     assert len(out) == 7 and all(r.decoded == 1 for r in out)
     assert all(bytes(r.back).decode() == (r.text or "") for r in out)
+    both = bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN).collect()
+    key = lambda r: (str(r.doc_id), bytes(r.token_ids))
+    assert sorted(map(key, both)) == sorted(map(key, out)) and all(bytes(r.decoded).decode() == (r.text or "") for r in both)
     assert bpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
