@@ -168,3 +168,23 @@ def _dealt(sized: DataFrame, classes: DataFrame) -> DataFrame:
     base = F.floor(F.col("share") / F.col("part_n"))
     extra = F.col("place") <= F.col("share") - base * F.col("part_n")
     return rows.drop("copies").withColumn("place", place).join(parts, slot).withColumn("copies", base + extra.cast("long"))
+
+
+def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_COPIES) -> DataFrame:
+    """The rows of the mix: each row of the table as often as it is taken, all columns as they are.
+
+    Copies are joined by key, source and size. Where several rows share these, their copies
+    are dealt to them one by one, so together they are taken as often as ``mix`` says.
+    """
+    mixed = mix(docs, key, text, source, most)
+    few = mixed.groupBy(F.struct(F.col(key), F.col("source"), F.col("size")).alias("_is")).agg(F.collect_list("copies").alias("_copies"))
+    few = few.select("_is", F.sort_array("_copies", asc=False).alias("_copies")).where(F.col("_copies")[0] > 0)
+    size = size_of(F.col(f"`{text}`").cast("string"))
+    own = F.struct(F.col(f"`{key}`").alias(key), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"))
+    joined = docs.withColumn("_is", own).join(few, "_is")  # structs with equal NULLs are equal
+    place = F.row_number().over(Window.partitionBy("_is").orderBy(F.lit(0)))
+    alone = F.size("_copies") == 1
+    rows = joined.where(alone).withColumn("_n", F.col("_copies")[0]).unionByName(
+        joined.where(~alone).withColumn("_n", F.get("_copies", place - 1)))
+    rows = rows.where("_n > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from earshot.llm import q_anchors, q_bpe, q_chat, q_itq, q_langid, q_mixing, q_quality, q_simhash, q_substrings  # noqa: F401
+from earshot.llm import q_anchors, q_bpe, q_chat, q_itq, q_langid, q_mixing, q_pii, q_quality, q_simhash, q_substrings  # noqa: F401
 from earshot.llm.registry import QUERIES, SQL  # noqa: F401
