@@ -16,42 +16,67 @@ from pyspark.sql import types as T
 from earshot.functions.normal import normal_cdf_array
 
 
-def beta_lower(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
+def _series(x: float) -> float:
+    """What Stirling's formula leaves of log gamma, for large x."""
+    return 1.0 / (12.0 * x) - 1.0 / (360.0 * x**3) + 1.0 / (1260.0 * x**5)
+
+
+def log_beta(a: float, b: float) -> float:
+    """Log of the beta function; large arguments go by differences that do not cancel."""
+    low, high = min(a, b), max(a, b)
+    if high < 1000.0:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    # lgamma(high + low) - lgamma(high)
+    grown = low * math.log(high) + (high + low - 0.5) * math.log1p(low / high) - low + _series(high + low) - _series(high)
+    return math.lgamma(low) - grown
+
+
+def beta_lower(x: float, a: float, b: float, rest: float | None = None) -> float:
+    """Regularised incomplete beta function.
+
+    ``rest`` is 1 - x where that is known more exactly than x. The side with the smaller
+    argument is taken, in which nothing cancels, unless so little is left of 1 that the other
+    side knows more digits (it does as long as a and b are not in the millions).
+    """
+    rest = 1.0 - x if rest is None else rest
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_lower(1.0 - x, b, a)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    out = d
-    for m in range(1, 5000):
+    if x > rest:
+        out = 1.0 - _beta_fraction(rest, b, a, x)
+        return max(out, 0.0) if out > 1e-6 or max(a, b) > 1e6 else _beta_fraction(x, a, b, rest)
+    return _beta_fraction(x, a, b, rest)
+
+
+def _beta_fraction(x: float, a: float, b: float, rest: float) -> float:
+    """The continued fraction, followed until it no longer changes."""
+    log_x, log_rest = (math.log(x), math.log1p(-x)) if x < rest else (math.log1p(-rest), math.log(rest))
+    front = math.exp(a * log_x + b * log_rest - log_beta(a, b)) / a
+    whole = lambda v: v if abs(v) > 1e-300 else 1e-300
+    c, d = 1.0, 1.0 / whole((1.0 - b * x + a * rest) / (a + 1.0))
+    out, m = d, 0
+    while True:
+        m += 1
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for step in (even, odd):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
+            d = 1.0 / whole(1.0 + step * d)
+            c = whole(1.0 + step / c)
             out *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * out
+        if abs(c * d - 1.0) < 4e-16:
+            return front * out
 
 
 def f_upper(f: float, df1: float, df2: float) -> float:
     """P(F > f)."""
-    return beta_lower(df2 / (df2 + df1 * f), df2 / 2.0, df1 / 2.0)
+    total = df2 + df1 * f
+    return beta_lower(df2 / total, df2 / 2.0, df1 / 2.0, df1 * f / total)
 
 
 def t_two_sided(t: float, df: float) -> float:
     """P(|T| > |t|)."""
-    return beta_lower(df / (df + t * t), df / 2.0, 0.5)
+    return f_upper(t * t, 1.0, df)
 
 
 def chi2_upper(x: float, df: int) -> float:
@@ -91,13 +116,13 @@ def tukey_upper(q: float, k: int, df: float) -> float:
     """P(studentized range of k means > q), integrated over the estimated deviation."""
     if q <= 0:
         return 1.0
-    if df > 25000:
-        return float(1.0 - _range_lower(np.array([q]), k)[0])
     spread = 10.0 / math.sqrt(2.0 * df)
-    s, weight = _legendre(max(1e-12, 1.0 - spread), 1.0 + spread * (1 if df > 4 else 3), 160)
-    half = df / 2.0
-    log_density = math.log(2) + half * math.log(half) - math.lgamma(half) + (df - 1) * np.log(s) - half * s * s
-    upper = (np.exp(log_density) * weight * (1.0 - _range_lower(q * s, k))).sum()
+    e, weight = _legendre(max(1e-12 - 1.0, -spread), spread * (1 if df > 4 else 3), 160)  # deviation less 1
+    half, log_s = df / 2.0, np.log1p(e)
+    scale = half * math.log(half) - half - math.lgamma(half) if half < 1000.0 else (
+        0.5 * math.log(half / (2.0 * math.pi)) - _series(half))
+    log_density = math.log(2) + scale + half * (2.0 * log_s - e * (2.0 + e)) - log_s
+    upper = (np.exp(log_density) * weight * (1.0 - _range_lower(q * (1.0 + e), k))).sum()
     return float(min(max(upper, 0.0), 1.0))
 
 

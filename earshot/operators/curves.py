@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,16 @@ from earshot.operators.reshape import long, wide
 from earshot.params import CURVE_KEYS, STIM_TYPES, TH_KEYS
 from earshot.session import cut_lineage
 
-MOST_HALVINGS = 6  # the cells of a curve stop dividing after five halvings at the latest
+
+def _halvings(share: float) -> int:
+    """Halvings after which every cell holds at most that share of its curve's points, or one point.
+
+    Halves are rounded up and the bound down, which together cost two more at most.
+    """
+    return math.ceil(math.log2(1 / share)) + 2 if share < 1 else 1
 
 
-def _cells(curves: DataFrame, keys: list[str], smallest: Column) -> DataFrame:
+def _cells(curves: DataFrame, keys: list[str], smallest: Column, halvings: int) -> DataFrame:
     """The cells (first and last rank) each curve of ``_n`` points is halved into.
 
     A cell is halved at its middle rank while it holds more than ``smallest`` points.
@@ -26,7 +34,7 @@ def _cells(curves: DataFrame, keys: list[str], smallest: Column) -> DataFrame:
         F.struct(low.alias("l"), middle.alias("u")), F.struct((middle + 1).alias("l"), high.alias("u"))
     )
     done = (high - low + 1 <= F.col("_least")) | (high <= low)
-    for _ in range(MOST_HALVINGS):
+    for _ in range(halvings):
         cells = cells.select(*keys, "_least", F.explode(
             F.when(done, F.array(F.struct(low.alias("l"), high.alias("u")))).otherwise(halves)
         ).alias("_c")).select(*keys, "_least", F.col("_c.l").alias("_l"), F.col("_c.u").alias("_u"))
@@ -101,7 +109,7 @@ def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell
     cells = "array(named_struct('l', 1L, 'u', bigint(_n)))"
     halves = """flatten(transform({}, c -> if(c.u - c.l + 1 <= _least or c.u <= c.l, array(c), array(
         named_struct('l', c.l, 'u', (c.l + c.u) div 2), named_struct('l', (c.l + c.u) div 2 + 1, 'u', c.u)))))"""
-    for _ in range(MOST_HALVINGS):
+    for _ in range(_halvings(span * cell)):
         cells = halves.format(cells)
     borders = """concat(array(_p[0].x - _w), transform(filter(_cells, c -> c.l > 1),
         c -> (_p[int(c.l) - 2].x + _p[int(c.l) - 1].x) / 2), array(_p[_n - 1].x + _w))"""
@@ -165,7 +173,7 @@ def _fit_joined(pts: DataFrame, keys: list[str], x: str, y: str, span: float, ce
     widen = _widen(F.col("_lo"), F.col("_hi"), margin)
 
     # Borders: the two widened ends, and midway between the ranks either side of a cut.
-    starts = _cells(curve, keys, smallest).where(F.col("_l") > 1).withColumnRenamed("_l", "_start").drop("_u")
+    starts = _cells(curve, keys, smallest, _halvings(span * cell)).where(F.col("_l") > 1).withColumnRenamed("_l", "_start").drop("_u")
     sides = starts.withColumn("_rank", F.explode(F.array(F.col("_start") - 1, F.col("_start"))))
     cuts = (
         attach(sides, pts.select(*keys, "_rank", x), [*keys, "_rank"])

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from earshot.functions.tails import f_upper, t_two_sided, tukey_quantile, tukey_upper
 from earshot.operators.joins import attach
 
-MOST_LEVELS = 200
 ALIASED = 1e-9
 
 
@@ -30,11 +29,8 @@ def crossed(*columns: str) -> list[tuple[str, ...]]:
 
 
 def levels_of(df: DataFrame, column: str) -> list:
-    """Distinct values of a factor in sorted order; refuses columns that are not factors."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
-    if len(rows) > MOST_LEVELS:
-        raise ValueError(f"{column} has more than {MOST_LEVELS} values; give it as a number, not a factor")
-    return sorted(r[0] for r in rows)
+    """Distinct values of a factor in sorted order; a model has a column for each of them."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 class Design:
@@ -68,6 +64,14 @@ class Design:
                 out[:, j] *= pdf[v].to_numpy(dtype=float) if l is None else (pdf[v] == l).to_numpy(dtype=float)
         return out
 
+    def used(self, df: DataFrame, y: str) -> DataFrame:
+        """Rows that take part: nothing of the model is NULL, and every factor has a listed level."""
+        known = F.col(f"`{y}`").isNotNull()
+        for v in self.variables:
+            c = F.col(f"`{v}`")
+            known &= c.isin(self.levels[v]) if v in self.levels else c.isNotNull()
+        return df.where(known)
+
     def fitted(self, coefficients: Column) -> Column:
         """The model's value as a column expression over an array of coefficients."""
         total = F.lit(0.0)
@@ -82,7 +86,7 @@ class Design:
 def product_sums(df: DataFrame, y: str, design: Design, keys: list[str] = ()) -> DataFrame:
     """One row per key: the entries of the product matrix of (design, y), in order."""
     keys, p = list(keys), len(design)
-    used = df.where(" and ".join(f"`{c}` is not null" for c in [y, *design.variables]))
+    used = design.used(df, y)
     cells = used.groupBy(*keys, *design.variables).agg(
         F.count("*").cast("double").alias("_n"), F.sum(y).alias("_y"), F.sum(F.col(y) * F.col(y)).alias("_yy"),
     )
@@ -215,7 +219,7 @@ def coefficients(df: DataFrame, y: str, terms: list[tuple], factors, keys: list[
 
 
 def residuals(df: DataFrame, y: str, terms: list[tuple], factors, keys: list[str] = (), out: str = "residual") -> DataFrame:
-    """Rows with what the model leaves of ``y``; rows with a NULL in the model are dropped."""
+    """Rows with what the model leaves of ``y``; rows that take no part in it are dropped."""
     keys, design = list(keys), Design(terms, _level_lists(df, factors))
 
     def solve(entries):
@@ -225,7 +229,7 @@ def residuals(df: DataFrame, y: str, terms: list[tuple], factors, keys: list[str
         yield [full.tolist()]
 
     fitted = _per_model(product_sums(df, y, design, keys), keys, "_b array<double>", solve)
-    used = df.where(" and ".join(f"`{c}` is not null" for c in [y, *design.variables]))
+    used = design.used(df, y)
     # Without keys this is exactly one row.
     joined = attach(used, fitted, keys) if keys else used.crossJoin(F.broadcast(fitted))
     return joined.withColumn(out, F.col(y) - design.fitted(F.col("_b"))).drop("_b")

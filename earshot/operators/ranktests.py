@@ -95,7 +95,7 @@ SMALL_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
 LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_SD = [-0.4803, -0.082676, 0.0030302]
 # ----------------------------------------------------------------------------
-FEWEST, MOST = 3, 5000
+FEWEST = 3
 
 
 def _poly(coefs: list[float], x: Column) -> Column:
@@ -106,20 +106,19 @@ def _poly(coefs: list[float], x: Column) -> Column:
 
 
 def shapiro(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
-    """Shapiro-Wilk W and p per group; defined for 3 to 5000 values, else NULL.
+    """Shapiro-Wilk W and p per group of at least 3 values.
 
-    Groups outside that range are counted but never sorted. The values are
-    checkpointed because they are counted first and sorted then.
+    The published polynomials were fitted for up to 5000 values; above, p extrapolates them
+    and W is exact. Ranks come from counts of distinct values, so that no group is sorted in
+    one task; values that occur often give their ranks by their count.
     """
     keys = list(keys)
-    rows = cut_lineage(df.select(*keys, value)).where(F.col(value).isNotNull())
+    rows = df.where(F.col(value).isNotNull())
+    ranks = cumulative(cut_lineage(histogram(rows, keys, value)), keys, value)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    fitting = sizes.where(F.col("n").between(FEWEST, MOST))
-    small = attach(rows, fitting, keys, "inner") if keys else rows.crossJoin(F.broadcast(fitting))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(value)  # at most 5000 rows
-    ranked = with_probit(
-        small.withColumn("_i", F.row_number().over(order)), {"_m": (F.col("_i") - 0.375) / (F.col("n") + 0.25)}
-    )
+    each = ranks.where(F.col("total") >= FEWEST).withColumn("_i", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("t"))))
+    each = each.withColumnRenamed("total", "n").drop("before", "t")
+    ranked = with_probit(each, {"_m": (F.col("_i") - 0.375) / (F.col("n") + 0.25)})
     i, n, x, m = F.col("_i"), F.col("n"), F.col(value), F.col("_m")
     at = lambda rank, col: F.max(F.when(i == rank, col))
     edge = F.when(n > 5, 2).otherwise(1)

@@ -273,10 +273,9 @@ def abr_anova_threshold(spark, sf):
     return anova(_wave_thresholds(spark, sf), "TH", TH_TERMS, ABR_LEVELS)
 
 
-@query("abr_shapiro_threshold", statement(
-    "SELECT count(*) AS n, CAST(NULL AS DOUBLE) AS W, CAST(NULL AS DOUBLE) AS p FROM abr_th_rows", ["W", "p"]))
+@query("abr_shapiro_threshold", statement(q.shapiro("model_abr_th_done", "y"), ["W", "p"]))
 def abr_shapiro_threshold(spark, sf):
-    """Undefined above 5000 values, and said so without sorting them."""
+    """Are the threshold model's residuals normal?"""
     return shapiro(residuals(_wave_thresholds(spark, sf), "TH", TH_TERMS, ABR_LEVELS), "residual")
 
 

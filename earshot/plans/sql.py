@@ -386,6 +386,9 @@ def orthogonal(name: str, source: str, y: str, terms: list[tuple], levels: dict[
         columns += [(i, p) for p in parts]
     variables = list(dict.fromkeys(v for t in terms for v in t))
     known = " AND ".join(f'"{v}" IS NOT NULL' for v in variables + [y])
+    for v in variables:  # rows of a level that is not listed do not take part
+        if v in levels:
+            known += f""" AND "{v}" IN ({', '.join(f"'{l}'" for l in levels[v])})"""
     CTES[f"{name}_m0"] = (f'SELECT *, "{y}"::DOUBLE AS y, ' + ", ".join(f"{s} AS x{j}" for j, (_, s) in enumerate(columns))
                          + "".join(f", {s} AS o{j}" for j, (_, s) in enumerate(columns)) + f" FROM {source} WHERE {known}")
     p = len(columns)
@@ -427,10 +430,10 @@ UNION ALL SELECT {len(terms) + 1}, 'Residuals', rdf, rss, rss / rdf, NULL, NULL
 
 
 def shapiro(source: str, value: str) -> str:
-    """W and p of one sample of more than 11 and at most 5000 values; NULL for others."""
+    """W and p of one sample of more than 11 values."""
     from earshot.operators import ranktests as r
     return f"""
-SELECT n, CASE WHEN n BETWEEN 3 AND 5000 THEN W END AS W, CASE WHEN n BETWEEN 3 AND 5000 THEN {normal_upper('z')} END AS p FROM
+SELECT n, W, {normal_upper('z')} AS p FROM
  (SELECT *, (ln(1 - W) - ({_poly(r.LARGE_MEAN, 'ln(n)')})) / exp({_poly(r.LARGE_SD, 'ln(n)')}) AS z FROM
   (SELECT n, (a1 * d1 + a2 * d2 + mid / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2))) ** 2 / ss AS W FROM
    (SELECT *, {_poly(r.OUTER, '(1 / sqrt(n))')} + m1 / sqrt(mm) AS a1, {_poly(r.NEXT, '(1 / sqrt(n))')} + m2 / sqrt(mm) AS a2 FROM

@@ -78,15 +78,17 @@ def read_trials(
     """Raw runs as one table, each row with its session's attributes and checks.
 
     ``files`` gives the session of every path (``FileName_complete``); ``header``
-    the columns of a run in file order. All files are one scan. ``row`` numbers the
-    rows along each file: it grows with the place in the file, without being dense.
+    the columns of a run in file order. All files are one scan. (``path``, ``block``,
+    ``row``) is the order of trials: files by name, pieces of a file by their place, and
+    ``row`` grows within a piece, without being dense.
     """
     schema = ", ".join(f"`{c}` string" for c in header)
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path).withColumns({
-        "_path": F.col("_metadata.file_path"), "row": F.monotonically_increasing_id(),
+        "_path": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"),
+        "row": F.monotonically_increasing_id(),
     })
     kept = drop_positions(raw, UNREAD_POSITIONS)
-    rows = kept.select("_path", "row", *[
+    rows = kept.select("_path", "block", "row", *[
         F.col(f"`{old}`").try_cast(TRIAL_TYPES[new]).alias(new) for old, new in TRIAL_COLUMNS.items()
     ])
     if files is None:
@@ -96,7 +98,7 @@ def read_trials(
         *session_columns, "File_Match", _comparable(F.col("FileName_complete")).alias("_key")
     ).distinct()
     return rows.withColumn("_key", _comparable(F.col("_path"))).join(sessions, "_key").select(
-        *session_columns, "File_Match", "row", *TRIAL_TYPES
+        *session_columns, "File_Match", F.col("_path").alias("path"), "block", "row", *TRIAL_TYPES
     )
 
 

@@ -50,6 +50,10 @@ def test_tails_against_integration():
     chi = lambda x: x ** 1.5 * np.exp(-x / 2) / (2 ** 2.5 * math.gamma(2.5))
     assert tails.chi2_upper(7.0, 5) == pytest.approx(numeric_integral(chi, 7, 200), rel=1e-6)
     assert tails.chi2_upper(4.0, 2) == pytest.approx(math.exp(-2))
+    # the limit for many degrees of freedom
+    for df in (1e6, 1e9, 1e12, 1e15):
+        assert tails.f_upper(3.84, 1, df) == pytest.approx(tails.chi2_upper(3.84, 1), rel=20 / df + 1e-9)
+        assert tails.f_upper(7.0 / 5, 5, df) == pytest.approx(tails.chi2_upper(7.0, 5), rel=20 / df + 1e-9)
 
 
 def test_studentized_range():
@@ -57,6 +61,8 @@ def test_studentized_range():
     assert tails.tukey_quantile(0.95, 3, 20) == pytest.approx(3.578, abs=2e-3)
     assert tails.tukey_quantile(0.95, 5, 10) == pytest.approx(4.654, abs=2e-3)
     assert tails.tukey_quantile(0.95, 2, 1e6) == pytest.approx(math.sqrt(2) * 1.959964, abs=1e-4)
+    assert tails.tukey_upper(3.3, 3, 24_999) == pytest.approx(tails.tukey_upper(3.3, 3, 25_001), rel=1e-6)
+    assert tails.tukey_upper(3.3, 3, 1e12) == pytest.approx(1 - tails._range_lower(np.array([3.3]), 3)[0], rel=1e-9)
     # Two means: the same as a t test.
     assert tails.tukey_upper(3.0, 2, 12) == pytest.approx(tails.t_two_sided(3.0 / math.sqrt(2), 12), abs=1e-8)
 

@@ -1,4 +1,5 @@
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -95,10 +96,16 @@ def test_tukey_second_term_uses_what_the_term_adds(table, frame):
     assert r.estimate == pytest.approx(part["q"] - part["p"])
 
 
-def test_levels_are_bounded(spark):
-    df = spark.range(500).select(F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError):
-        linear.levels_of(df, "k")
+def test_levels_and_rows_of_a_model(spark):
+    many = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    assert len(linear.levels_of(many, "k")) == 500
+    # rows of a level that is not listed take no part
+    rows = [("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 9.0), ("c", 100.0), ("c", 130.0)]
+    df = spark.createDataFrame(rows, "g string, y double")
+    listed = linear.anova(df, "y", [("g",)], {"g": ["a", "b"]}).collect()
+    assert [(r.df, r.sum_sq) for r in listed] == [(1, pytest.approx(25.0)), (2, pytest.approx(10.0))]
+    left = linear.residuals(df, "y", [("g",)], {"g": ["a", "b"]}).collect()
+    assert sorted((r.g, round(r.residual, 9)) for r in left) == [("a", -1.0), ("a", 1.0), ("b", -2.0), ("b", 2.0)]
 
 
 def test_kruskal_and_ranksum_with_ties(spark, frame):
@@ -146,8 +153,17 @@ def test_shapiro(spark):
     got = {r.k: r for r in ranktests.shapiro(df, "v", ["k"]).collect()}
     assert got["w"].W == pytest.approx(0.79, abs=0.005) and got["w"].p == pytest.approx(0.0067, abs=5e-4)
     assert got["two"].n == 2 and got["two"].W is None and got["two"].p is None
-    big = spark.range(6000).select(F.col("id").cast("double").alias("v"))
-    assert tuple(ranktests.shapiro(big, "v").first()) == (6000, None, None)
+    # W of any size, ties included, by its definition
+    n = 6001
+    x = np.sort(np.floor(np.random.default_rng(4).normal(size=n) * 50))
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    a = m / np.sqrt(m @ m)
+    ends = [np.polyval(c[::-1], 1 / np.sqrt(n)) + e for c, e in ((ranktests.OUTER, a[-1]), (ranktests.NEXT, a[-2]))]
+    phi = (m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * ends[0] ** 2 - 2 * ends[1] ** 2)
+    a = m / np.sqrt(phi)
+    a[-1], a[-2], a[0], a[1] = ends[0], ends[1], -ends[0], -ends[1]
+    big = ranktests.shapiro(spark.createDataFrame([(v,) for v in x.tolist()], "v double"), "v").first()
+    assert big.n == n and big.W == pytest.approx((a @ x) ** 2 / ((x - x.mean()) ** 2).sum(), abs=1e-9) and 0 <= big.p <= 1
     three = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double")
     assert ranktests.shapiro(three, "v").first().W == pytest.approx(1.0)
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,19 @@ def test_trial_files(spark, tmp_path):
         ("Orange 5", "tone", 1, 10.0 * i, 200.5 + i, f"{i}.0", "Good") for i in range(5)]
 
 
+def test_order_of_trials_over_two_runs_of_a_day(spark, tmp_path):
+    folder = tmp_path / "data" / "20220420" / "export"
+    folder.mkdir(parents=True)
+    name = GOOD.rsplit("/", 1)[1]
+    morning, evening = (re.sub(r"-\d{6}_", f"-{t}_", name) for t in ("080000", "140000"))
+    for run, n in ((morning, 3), (evening, 12)):  # the longer file comes second
+        lines = [",".join(HEADER)] + [f"{i},tone,1,4,{i},50,Hit,200.5,{i}.0,x,y" for i in range(n)]
+        (folder / run).write_text("\n".join(lines) + "\n")
+    got = readers.read_trials(spark, None, str(folder), HEADER).orderBy("path", "block", "row").collect()
+    assert [r.Inten for r in got] == [float(i) for i in [*range(3), *range(12)]]
+    assert [r.path.rsplit("/", 1)[1].count("-080000_") for r in got] == [1] * 3 + [0] * 12
+
+
 def test_logs_sheets_and_results(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
