@@ -28,6 +28,7 @@ WEIGHTS = [1, 2, 3]  # repeated over the sources in order
 MOST_COPIES = 3
 SLOT_ROWS = 10_000
 PRECISION = 1e-9  # of a source's target
+STEPS = 5  # Newton steps in one job
 
 
 def size_of(text: Column) -> Column:
@@ -64,33 +65,41 @@ def targets(sources: DataFrame, most: float = MOST_COPIES) -> DataFrame:
 
 def _balanced(counts: DataFrame, goals: DataFrame, most: float) -> DataFrame:
     """(source, t): the multiplier of each source, for sizes relative to the mean size."""
-    size = F.col("x")
-    rated = F.least(F.exp(F.col("t") * size), F.lit(float(most)))
     start = counts.join(goals, "source_key").groupBy("source_key").agg(
         F.min("x").alias("least"), F.first("goal").alias("goal"), exact_sum(F.col("n") * F.col("x")).alias("total"), F.first("full").alias("full"),
     )
     # at the lower end no rate sum exceeds the goal, at the upper end every rate is at its most
     low = F.least(F.lit(0.0), F.log(F.col("goal") / F.col("total")) / F.col("least"))
     high = F.log(F.lit(float(most))) / F.col("least")
-    now = written(start.select("source_key", "goal", "full", low.alias("low"), high.alias("high"), F.lit(0.0).alias("t"), F.lit(False).alias("done")))
+    now = start.select("source_key", "goal", "full", low.alias("low"), high.alias("high"), F.lit(0.0).alias("t"), F.lit(False).alias("done"))
     turn = 0
-    while now.where(~F.col("done") & ~F.col("full")).limit(1).count():
-        turn += 1
-        sums = counts.join(now, "source_key").groupBy("source_key").agg(
-            *[F.first(c).alias(c) for c in ("goal", "full", "low", "high", "t")],
-            (exact_sum(F.col("n") * size * rated) - F.first("goal")).alias("over"),
-            exact_sum(F.when(F.exp(F.col("t") * size) < most, F.col("n") * size * size * rated).otherwise(0.0)).alias("slope"),
-        )
-        low = F.when(F.col("over") < 0, F.col("t")).otherwise(F.col("low"))
-        high = F.when(F.col("over") > 0, F.col("t")).otherwise(F.col("high"))
-        newton = F.col("t") - F.col("over") / F.when(F.col("slope") > 0, F.col("slope"))
-        inside = (newton > low) & (newton < high) & F.lit(turn % 4 > 0)  # every fourth step halves the bracket
-        done = (F.abs("over") <= PRECISION * F.col("goal")) | (high - low <= 1e-14 * (F.abs(low) + F.abs(high)))
-        now = written(sums.select(
-            "source_key", "goal", "full", low.alias("low"), high.alias("high"), done.alias("done"),
-            F.when(done, F.col("t")).when(inside, newton).otherwise((low + high) / 2).alias("t"),
-        ))
-    return now.select("source_key", "t", "full")
+    while True:
+        for _ in range(STEPS):
+            turn += 1
+            now = _stepped(counts, now, most, halve=turn % 4 == 0)
+        now = written(now)
+        if not now.where(~F.col("done") & ~F.col("full")).limit(1).count():
+            return now.select("source_key", "t", "full")
+
+
+def _stepped(counts: DataFrame, now: DataFrame, most: float, halve: bool) -> DataFrame:
+    """One Newton step per source, or the middle of its bracket where that leaves it or ``halve`` asks for it."""
+    size, t = F.col("x"), F.col("t")
+    rated = F.least(F.exp(t * size), F.lit(float(most)))
+    sums = counts.join(now, "source_key").groupBy("source_key").agg(
+        *[F.first(c).alias(c) for c in ("goal", "full", "low", "high", "t")],
+        (exact_sum(F.col("n") * size * rated) - F.first("goal")).alias("over"),
+        exact_sum(F.when(F.exp(t * size) < most, F.col("n") * size * size * rated).otherwise(0.0)).alias("slope"),
+    )
+    low = F.when(F.col("over") < 0, t).otherwise(F.col("low"))
+    high = F.when(F.col("over") > 0, t).otherwise(F.col("high"))
+    newton = t - F.col("over") / F.when(F.col("slope") > 0, F.col("slope"))
+    inside = (newton > low) & (newton < high) & F.lit(not halve)
+    done = (F.abs("over") <= PRECISION * F.col("goal")) | (high - low <= 1e-14 * (F.abs(low) + F.abs(high)))
+    return sums.select(
+        "source_key", "goal", "full", low.alias("low"), high.alias("high"),
+        F.when(done, t).when(inside, newton).otherwise((low + high) / 2).alias("t"), done.alias("done"),
+    )
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: int = MOST_COPIES) -> DataFrame:
@@ -105,14 +114,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     goals = written(targets(sums.select(F.col("source_key.source").alias("source"), "source_size"), most).select(
         F.struct("source").alias("source_key"), "source_size", "target"))
     mean = classes.where("size > 0").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    counts = written(classes.where("size > 0").crossJoin(F.broadcast(mean)).select(  # one row
-        "source_key", "size", "n", (F.col("size") / F.col("mean")).alias("x")))
+    counts = classes.where("size > 0").crossJoin(F.broadcast(mean)).select(  # one row
+        "source_key", "size", "n", (F.col("size") / F.col("mean")).alias("x"))
     scaled = goals.where("source_size > 0").crossJoin(F.broadcast(mean)).select(
         "source_key", (F.col("target") / F.col("mean")).alias("goal"),
         (F.col("target") >= most * F.col("source_size") * (1 - PRECISION)).alias("full"))
     rate = F.when(F.col("full"), float(most)).otherwise(F.least(F.exp(F.col("t") * F.col("x")), F.lit(float(most))))
     rates = counts.join(_balanced(counts, scaled, most), "source_key").select("source_key", "size", "n", rate.alias("rate"))
-    copies = _filled(_rounded(rates), goals, most).unionByName(
+    copies = _filled(written(_rounded(rates)), goals, most).unionByName(
         classes.where("size = 0").withColumns({"rate": F.lit(1.0), "copies": F.col("n")}))
     return _dealt(sized, written(copies.join(goals, "source_key"))).select(
         F.col("key").alias(key), "size", F.col("source_key.source").alias("source"), "source_size", "target", "rate", "copies",
@@ -131,24 +140,28 @@ def _rounded(rates: DataFrame) -> DataFrame:
 
 
 def _filled(classes: DataFrame, goals: DataFrame, most: int) -> DataFrame:
-    """Single copies added or taken away until no document fits into what a source is off by.
+    """Copies added or taken away until no document fits into what a source is off by.
 
-    Each round changes one size per source: the largest one that fits and has copies to give.
-    What is left is then smaller than that size, so a few rounds reach the smallest.
+    Per source the sizes that fit are gone through once, the largest first, each as often as
+    it fits and has documents for; every step leaves less than its size.
     """
-    now = written(classes.withColumn("tried", F.lit(False)))
-    while True:
-        off = now.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("have")).join(goals, "source_key").select(
-            "source_key", F.round(F.col("target") - F.col("have")).cast("long").alias("off"))
-        room = F.when(F.col("off") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-        fits = now.join(off, "source_key").where((F.col("size") <= F.abs("off")) & (room > 0) & ~F.col("tried")).groupBy("source_key").agg(
-            F.max(F.struct("size", F.least(room, F.floor(F.abs("off") / F.col("size"))).alias("m"), F.signum("off").cast("long").alias("sign"))).alias("best"))
-        fits = written(fits.select("source_key", F.col("best.size").alias("size"), (F.col("best.m") * F.col("best.sign")).alias("change")))
-        if not fits.limit(1).count():
-            return now.drop("tried")
-        now = written(now.join(fits, ["source_key", "size"], "left").select(
-            "source_key", "size", "n", "rate", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"),
-            (F.col("tried") | F.col("change").isNotNull()).alias("tried")))
+    off = classes.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("have")).join(goals, "source_key").select(
+        "source_key", F.round(F.col("target") - F.col("have")).cast("long").alias("off"))
+    room = F.when(F.col("off") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+    fits = classes.join(off, "source_key").where((F.col("size") <= F.abs("off")) & (room > 0)).groupBy("source_key", "off").agg(
+        F.sort_array(F.collect_list(F.struct("size", room.alias("room"))), asc=False).alias("sizes"))  # distinct sizes
+    state = "struct<left: bigint, out: array<struct<size: bigint, m: bigint>>>"
+
+    def take(s: Column, x: Column) -> Column:
+        m = F.least(x["room"], F.floor(s["left"] / x["size"]))
+        more = F.array(F.struct(x["size"].alias("size"), m.alias("m")))
+        return F.when(m > 0, F.struct((s["left"] - m * x["size"]).alias("left"), F.concat(s["out"], more).alias("out")).cast(state)).otherwise(s)
+
+    begin = F.struct(F.abs("off").alias("left"), F.array().alias("out")).cast(state)
+    changes = fits.select("source_key", F.signum("off").cast("long").alias("sign"), F.explode(F.aggregate("sizes", begin, take, lambda s: s["out"])).alias("c"))
+    changes = changes.select("source_key", F.col("c.size").alias("size"), (F.col("sign") * F.col("c.m")).alias("change"))
+    return classes.join(changes, ["source_key", "size"], "left").select(
+        "source_key", "size", "n", "rate", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
 
 
 def _dealt(sized: DataFrame, classes: DataFrame) -> DataFrame:
