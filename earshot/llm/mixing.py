@@ -26,7 +26,7 @@ from earshot.llm.tables import salted_join, written
 
 WEIGHTS = [1, 2, 3]  # repeated over the sources in order
 MOST_COPIES = 3
-SLOT_ROWS = 10_000
+SLOT_ROWS = 500
 PRECISION = 1e-9  # of a source's target
 STEPS = 5  # Newton steps in one job
 
