@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 NAME_PATTERN = r"(^.*?)_(.*?dB)_(.*?ms)_.*$"
 BACKGROUND_PATTERN = r"(^.*?_BG_)(.*?)_(\d+).*"
 FOUR_NUMBERS = r"^(.*?), (.*?), (.*?), (.+?)$"
+DATE_FOLDER = r"/data/(\d{8})/"
+SUBJECT_IN_PATH = r".*/export/(\D+?)(\d+?)_.*"
+BEFORE_NAME = r".?/data/\d+/export/.+?_"
+AFTER_NAME = r"_\d{8}-\d+.*_raw_data.csv"
 # -----------------------------------
 
 
@@ -45,19 +49,19 @@ def single_slashes(path: Column) -> Column:
 
 def path_date(path: Column) -> Column:
     """Date of the ``/data/yyyyMMdd/`` folder, NULL where there is none."""
-    digits = F.regexp_extract(path, r"/data/(\d{8})/", 1)
+    digits = F.regexp_extract(path, DATE_FOLDER, 1)
     return F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd")
 
 
 def path_subject(path: Column) -> Column:
     """``Green1_...`` after ``/export/`` becomes ``Green 1``; else the path unchanged."""
-    return F.regexp_replace(path, r".*/export/(\D+?)(\d+?)_.*", "$1 $2")
+    return F.regexp_replace(path, SUBJECT_IN_PATH, "$1 $2")
 
 
 def bare_name(path: Column) -> Column:
     """Session name inside a raw-file name: no folder, no subject, no time stamp."""
-    inner = F.regexp_replace(path, r".?/data/\d+/export/.+?_", "")
-    return F.regexp_replace(inner, r"_\d{8}-\d+.*_raw_data.csv", "")
+    inner = F.regexp_replace(path, BEFORE_NAME, "")
+    return F.regexp_replace(inner, AFTER_NAME, "")
 
 
 def folder_of(date: Column) -> Column:

@@ -31,11 +31,12 @@ def lambert_w(x: Column) -> Column:
 
 @dataclass(frozen=True)
 class HeavyTail:
-    """Location, scale and tail weight."""
+    """Location, scale and tail weight; ``converged`` is False where the fit stopped before its tolerance."""
 
     mu: float
     sigma: float
     delta: float
+    converged: bool = True
 
     def score(self, y: Column) -> Column:
         """u for an observed value."""
@@ -79,19 +80,21 @@ def fit_heavy_tail(df: DataFrame, y: str, steps: int = 40, tolerance: float = 1e
             de[1], de[2] * n / (n - 1), de[4] / e[2] ** 2 - 2.0 * e[4] / e[2] ** 3 * de[2],
         ])
         if np.abs(off).max() < tolerance:
-            break
+            return HeavyTail(mu, sigma, delta)
         move = np.linalg.solve(slope, off)
         shrink = 1.0
         while (at - shrink * move)[1] <= 0.2 * sigma or (at - shrink * move)[2] <= 0.0:
             shrink /= 2.0
             if shrink < 1e-6:
-                return HeavyTail(mu, sigma, delta)
+                return HeavyTail(mu, sigma, delta, converged=False)
         at = at - shrink * move
-    return HeavyTail(*(float(a) for a in at))
+    return HeavyTail(*(float(a) for a in at), converged=False)
 
 
 def gaussianize(df: DataFrame, y: str, out: str | None = None) -> DataFrame:
     """Replace ``y`` (or add ``out``) by its value with the heavy tails drawn in."""
     tail = fit_heavy_tail(df, y)
+    if not tail.converged:
+        raise ArithmeticError(f"the tail weight of {y} was not found to its tolerance")
     value = F.col(y) if tail.delta == 0.0 else tail.score(F.col(y)) * tail.sigma + tail.mu
     return df.withColumn(out or y, value)

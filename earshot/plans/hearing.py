@@ -28,8 +28,9 @@ def no_first(spark, sf):
 
 
 def analysis(spark, sf):
-    """Trials without the warm-up block and without excluded subjects."""
-    return drop_subjects(no_first(spark, sf), PARAMS.excluded_subjects)
+    """Trials without the warm-up block and without excluded subjects, who are left out first: blocks are per subject."""
+    kept = drop_subjects(src.trials(spark, sf), PARAMS.excluded_subjects)
+    return blocks.drop_first_block(kept, ORDER, src.trial_slot(), PARAMS)
 
 
 def dprimes(spark, sf):
@@ -44,13 +45,20 @@ def over_threshold(spark, sf):
     return reaction.over_threshold(reaction.go_hits(analysis(spark, sf)), thresholds(spark, sf))
 
 
-def counted_over_threshold(spark, sf, extra=()):
+def counted_over_threshold(spark, sf):
     """Counted hits above threshold; trials are read once for thresholds and times."""
-    cells = cut_lineage(reaction.counted(analysis(spark, sf), extra=extra))
+    cells = cut_lineage(reaction.counted(analysis(spark, sf)))
     th = curves.thresholds(sdt.dprime_table(cells, weight="n"), PARAMS.th_cutoff)
     return reaction.over_threshold(reaction.go_hits(cells), th)
 
 
+def times_over_threshold(spark, sf):
+    """Reaction times of hits above threshold with their counts; only go hits are counted by time."""
+    th = curves.thresholds(sdt.dprime_table(reaction.counted(analysis(spark, sf)), weight="n"), PARAMS.th_cutoff)
+    times = reaction.counted(reaction.go_hits(analysis(spark, sf)), extra=["RTime"])
+    return reaction.over_threshold(times, th)
+
+
 def rxn_means(spark, sf):
     return reaction.mean_reaction(counted_over_threshold(spark, sf))
 
@@ -282,8 +290,7 @@ def over(spark, sf):
 @query("rxn_describe", statement(q.describe("over_th", RXN_KEYS, "RTime"), ["Dur", "Freq", "Inten", *_STATS]))
 def rxn_describe(spark, sf):
     """Full description of reaction times above threshold."""
-    hits_above = counted_over_threshold(spark, sf, extra=["RTime"])
-    return reaction.describe_reaction(hits_above, weight="n")
+    return reaction.describe_reaction(times_over_threshold(spark, sf), weight="n")
 
 
 @query("rxn_change", statement(

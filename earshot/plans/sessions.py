@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from earshot.functions import labels
+from earshot.functions import labels, names
 from earshot.operators import sessions as ops
 from earshot.operators.reshape import long
 from earshot.operators.summaries import box, log_summary
@@ -122,15 +122,15 @@ def matched_files(spark, sf):
     return ops.match_files(sessions(spark, sf), src.file_listing(spark, sf))
 
 
-_CHECK = r"""
+_CHECK = rf"""
 SELECT Date, ID, File, path, ActualFile, CAST(Date2 AS VARCHAR) AS Date2, ID2, DateCheck, IDCheck,
   CASE WHEN DateCheck <> IDCheck THEN 'ISSUE' WHEN DateCheck = 'Good' AND IDCheck = 'Good' THEN 'Good' END AS File_Match,
   DateCheck = 'BAD' AND IDCheck = 'BAD' AS both_bad
 FROM (SELECT *, CASE WHEN Date = Date2 THEN 'Good' ELSE 'BAD' END AS DateCheck, CASE WHEN ID = ID2 THEN 'Good' ELSE 'BAD' END AS IDCheck
   FROM (SELECT Date, ID, File, path,
-    regexp_replace(regexp_replace(path, '.?/data/[0-9]+/export/.+?_', ''), '_[0-9]{8}-[0-9]+.*_raw_data.csv', '') AS ActualFile,
-    CAST(strptime(regexp_extract(path, '/data/([0-9]{8})/', 1), '%Y%m%d') AS DATE) AS Date2,
-    regexp_replace(path, '.*/export/([^0-9]+?)([0-9]+?)_.*', '\1 \2') AS ID2 FROM claimed_files))"""
+    regexp_replace(regexp_replace(path, '{names.BEFORE_NAME}', ''), '{names.AFTER_NAME}', '') AS ActualFile,
+    CAST(strptime(regexp_extract(path, '{names.DATE_FOLDER}', 1), '%Y%m%d') AS DATE) AS Date2,
+    regexp_replace(path, '{names.SUBJECT_IN_PATH}', '\1 \2') AS ID2 FROM claimed_files))"""
 
 
 @query("file_check", statement(_CHECK, dates=["Date"]))

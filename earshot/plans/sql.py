@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from earshot.functions import normal
+from earshot.functions import names, normal
 from earshot.params import BACKGROUND_LABELS, CURVE_KEYS, EXCLUDED_PHASES
 from earshot.plans.registry import TIE_GUARD
 
@@ -119,17 +119,14 @@ FROM (SELECT ID, Date, Condition, BG_Type, count(*) AS n,
         100.0::DOUBLE * count(*) FILTER (Response = 'Hit') / nullif(count(*) FILTER (Response IN ('Hit', 'Miss')), 0) AS Hit,
         100.0::DOUBLE * count(*) FILTER (Response = 'F.A.') / nullif(count(*) FILTER (Response IN ('F.A.', 'C.R.')), 0) AS FA
       FROM trials GROUP BY ALL)"""
-_NAME = r"^(.*?)_(.*?dB)_(.*?ms)_.*$"
-_BG = r"^(.*?_BG_)(.*?)_(\d+).*"
 CTES["parsed_log"] = rf"""
-SELECT *, regexp_replace(File, '{_NAME}', '\1') AS Frequency, regexp_replace(File, '{_NAME}', '\2') AS Intensity,
-  regexp_replace(File, '{_NAME}', '\3') AS Duration,
-  CASE WHEN File LIKE '%\_BG\_%' ESCAPE '\' THEN regexp_replace(File, '{_BG}', '\2') ELSE 'NA' END AS BG_Type,
-  CASE WHEN File LIKE '%\_BG\_%' ESCAPE '\' THEN regexp_replace(File, '{_BG}', '\3') ELSE 'NA' END AS BG_Intensity
+SELECT *, regexp_replace(File, '{names.NAME_PATTERN}', '\1') AS Frequency, regexp_replace(File, '{names.NAME_PATTERN}', '\2') AS Intensity,
+  regexp_replace(File, '{names.NAME_PATTERN}', '\3') AS Duration,
+  CASE WHEN File LIKE '%\_BG\_%' ESCAPE '\' THEN regexp_replace(File, '{names.BACKGROUND_PATTERN}', '\2') ELSE 'NA' END AS BG_Type,
+  CASE WHEN File LIKE '%\_BG\_%' ESCAPE '\' THEN regexp_replace(File, '{names.BACKGROUND_PATTERN}', '\3') ELSE 'NA' END AS BG_Intensity
 FROM raw_log WHERE File <> 'Did not run'"""
 _PHASES = ", ".join(f"'{p}'" for p in EXCLUDED_PHASES)
-_FOUR = r"^(.*?), (.*?), (.*?), (.+?)$"
-_tone = lambda i: (rf"CASE WHEN Frequency = '4-32kHz' THEN CAST(round_even(TRY_CAST(regexp_replace(Thresholds, '{_FOUR}', "
+_tone = lambda i: (rf"CASE WHEN Frequency = '4-32kHz' THEN CAST(round_even(TRY_CAST(regexp_replace(Thresholds, '{names.FOUR_NUMBERS}', "
                    rf"'\{i}') AS DOUBLE), 0) AS DOUBLE) END")
 CTES["sessions"] = f"""
 SELECT *,

@@ -74,10 +74,13 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
 def read_trials(
     spark: SparkSession, files: DataFrame | None, path: str | list[str], header: list[str],
     session_columns: tuple[str, ...] = ("Date", "ID", "Sex", "Condition", "BG_Type", "BG_Intensity"),
+    match: str = "session",
 ) -> DataFrame:
     """Raw runs as one table, each row with its session's attributes and checks.
 
-    ``files`` gives the session of every path (``FileName_complete``); ``header``
+    ``files`` gives the sessions of every path: with ``match="session"`` the one whose name
+    the file carries (``FileName_expected``), with ``"subject_day"`` every session of that
+    subject and day (``FileName_complete``), so that a file is read once for each. ``header``
     the columns of a run in file order. All files are one scan. (``path``, ``block``,
     ``row``) is the order of trials: files by name, pieces of a file by their place, and
     ``row`` grows within a piece, without being dense.
@@ -93,9 +96,9 @@ def read_trials(
     ])
     if files is None:
         return rows.withColumnRenamed("_path", "path")
-    # One row per path: a file listed by two sessions of a day is read once for each.
-    sessions = check_names(files.where(F.col("FileName_complete").isNotNull()), missing="NA").select(
-        *session_columns, "File_Match", _comparable(F.col("FileName_complete")).alias("_key")
+    name = {"session": "FileName_expected", "subject_day": "FileName_complete"}[match]
+    sessions = check_names(files.where(F.col(name).isNotNull()), name, missing="NA").select(
+        *session_columns, "File_Match", _comparable(F.col(name)).alias("_key")
     ).distinct()
     return rows.withColumn("_key", _comparable(F.col("_path"))).join(sessions, "_key").select(
         *session_columns, "File_Match", F.col("_path").alias("path"), "block", "row", *TRIAL_TYPES

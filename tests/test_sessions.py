@@ -108,6 +108,20 @@ def test_order_of_trials_over_two_runs_of_a_day(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1].count("-080000_") for r in got] == [1] * 3 + [0] * 12
 
 
+def test_two_sessions_of_a_day_keep_their_own_files(spark, tmp_path):
+    folder = tmp_path / "data" / "20220420" / "export"
+    folder.mkdir(parents=True)
+    quiet, pink = FILE, "BBN_30-90dB_50ms_BG_PNK_50dB_4s"
+    for run in (quiet, pink):
+        lines = [",".join(HEADER)] + [f"{i},tone,1,4,{i},50,Hit,200.5,{i}.0,x,y" for i in range(8)]
+        (folder / f"Orange5_Orange5_{run}_20220420-130546_BOX#001_raw_data.csv").write_text("\n".join(lines) + "\n")
+    df = sessions.prepare(log(spark, (quiet, "25", "BBN", "Orange 5"), (pink, "25", "BBN", "Orange 5")))
+    files = sessions.match_files(df, readers.list_files(spark, str(tmp_path / "data")))
+    own = readers.read_trials(spark, files, str(folder), HEADER).groupBy("path", "BG_Type").count().collect()
+    assert sorted((r.BG_Type, "PNK" in r.path, r["count"]) for r in own) == [("NA", False, 8), ("PNK", True, 8)]
+    assert readers.read_trials(spark, files, str(folder), HEADER, match="subject_day").count() == 32
+
+
 def test_logs_sheets_and_results(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
