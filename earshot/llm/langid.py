@@ -19,6 +19,7 @@ is every text where nothing could be learned.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         letters = letter_table()
         for pdf in frames:
             for size in SNIPPETS:
-                at = [zlib_place(t, size) for t in pdf["text"]]
+                at = [snippet_place(t, size) for t in pdf["text"]]
                 r = score([t[i:i + size] for t, i in zip(pdf["text"], at)], model, letters)
                 right = np.array([b >= 0 and model.languages[b] == want for b, want in zip(r["best"], pdf["lang"])])
                 yield pd.DataFrame({"ratio": r["ratio"], "right": right})[r["best"] >= 0]
@@ -244,10 +245,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return model
 
 
-def zlib_place(text: str, size: int) -> int:
+def snippet_place(text: str, size: int) -> int:
     """A place for a snippet that depends on the text only."""
-    import zlib
-
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(text) - size)
 
 
