@@ -90,21 +90,38 @@ def close_links(fps: DataFrame) -> DataFrame:
     ).select(F.col("fp").alias("a"), "b").distinct()
 
 
+def _named(fps: DataFrame) -> DataFrame:
+    """One row per distinct fingerprint of column ``fp`` with its component."""
+    found = components(close_links(fps))
+    return fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """One row per input row: ``key``, fp and component_id, the least key reachable by links."""
     rows = written(docs.select(F.col(key).alias("key"), fingerprint_column(shingle)(F.col(f"`{text}`").cast("string")).alias("fp")))
     reps = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    found = components(close_links(reps.select("fp")))
-    named = reps.join(found, reps["fp"] == found["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    named = reps.join(_named(reps.select("fp")), "fp")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = written(named.join(least, "component").select("fp", "component_id"))
     return rows.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def _row_hash(docs: DataFrame):
+    """A hash of the whole row (maps and variants, which have none, left out)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
+
+
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """The documents that have the least key of their group, one row of each, all columns as they are."""
-    keep = groups(docs, key, text, shingle).where(F.col(key).eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col(key).alias("_kept_key")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(keep["_kept_key"]), "left_semi").dropDuplicates([key])
+    """One row of each group, the first by key (NULL last) and hash of the row, all columns as they are.
+
+    Groups are the components of links, whatever their keys: rows with a NULL key or the
+    key of another group stay apart.
+    """
+    keyed = docs.withColumn("_row", _row_hash(docs))
+    rows = written(keyed.select(F.col(f"`{key}`").alias("key"), "_row", fingerprint_column(shingle)(F.col(f"`{text}`").cast("string")).alias("fp")))
+    named = _named(rows.select("fp").distinct())
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "_row")
+    first = rows.groupBy("fp").agg(F.min(place).alias("p")).join(named, "fp").groupBy("component").agg(F.min("p").alias("p"))
+    keep = first.select(F.col("p._row").alias("_kept"))
+    # what is kept twice is the same row
+    return keyed.join(keep, keyed["_row"] == keep["_kept"], "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -79,3 +79,10 @@ def test_query_against_brute_force(spark):
     got = op8_simhash(spark, sf).collect()
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in got} == {d: (fps[d], want[d]) for d in ids}
     assert op8_simhash(spark, sf).select(F.max(F.length("fingerprint"))).first()[0] == 16
+
+
+def test_first_rows_of_groups_whatever_their_keys(spark, documents):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (4, texts[3]), (4, texts[4]), (4, texts[4]), (5, texts[5]), (None, texts[5]), (3, texts[5])]
+    kept = [(r.doc_id, r.text) for r in simhash.first_of_each(documents(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([*[(None, t) for t in texts[:3]], (4, texts[3]), (4, texts[4]), (3, texts[5])], key=str)
