@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from earshot.llm import resemblance
 from earshot.llm.components import components
+from earshot.llm.shingles import SEED, shingles
 from earshot.llm.tables import written
 
-SEED = 42
 BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]  # bit ranges
 DISTANCE = 2  # bits; five blocks are made for it
 
@@ -37,14 +38,7 @@ def fingerprints(texts: list, shingle: int) -> np.ndarray:
     counts = np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     for i, text in enumerate(texts):
-        words = text.encode().lower().split() if text else []  # bytes split at ASCII white space only
-        if len(words) <= shingle:
-            parts = [b" ".join(words)] if words else []
-        else:
-            joined = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.append(0, ends[:-shingle] + 1).tolist()
-            parts = [joined[a:b] for a, b in zip(starts, ends[shingle - 1:].tolist())]
+        parts = shingles(text, shingle)
         hashes.extend(map(xxhash.xxh64_intdigest, parts, repeat(SEED)))
         counts[i] = len(parts)
     out = np.zeros(len(texts), np.uint64)
@@ -111,15 +105,22 @@ def _row_hash(docs: DataFrame):
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int | None = None) -> DataFrame:
     """One row of each group, the first by key (NULL last) and hash of the row, all columns as they are.
 
     Groups are the components of links, whatever their keys: rows with a NULL key or the
-    key of another group stay apart.
+    key of another group stay apart. Links are those of ``groups`` or, with ``percent``,
+    all pairs of texts whose shingle sets have at least that Jaccard similarity.
     """
     keyed = docs.withColumn("_row", _row_hash(docs))
-    rows = written(keyed.select(F.col(f"`{key}`").alias("key"), "_row", fingerprint_column(shingle)(F.col(f"`{text}`").cast("string")).alias("fp")))
-    named = _named(rows.select("fp").distinct())
+    whole = F.col(f"`{text}`").cast("string")
+    if percent is None:
+        rows = written(keyed.select(F.col(f"`{key}`").alias("key"), "_row", fingerprint_column(shingle)(whole).alias("fp")))
+        named = _named(rows.select("fp").distinct())
+    else:
+        texts = keyed.select(F.col(f"`{key}`").alias("key"), "_row", whole.alias("text"))
+        marked = resemblance.marked(texts, shingle, percent)
+        rows, named = marked.select("key", "_row", F.col("node").alias("fp")), resemblance.named(texts.drop("key"), marked, shingle, percent)
     place = F.struct(F.col("key").isNull().alias("last"), "key", "_row")
     first = rows.groupBy("fp").agg(F.min(place).alias("p")).join(named, "fp").groupBy("component").agg(F.min("p").alias("p"))
     keep = first.select(F.col("p._row").alias("_kept"))
