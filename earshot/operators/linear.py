@@ -84,7 +84,7 @@ class Design:
 
 
 def product_sums(df: DataFrame, y: str, design: Design, keys: list[str] = ()) -> DataFrame:
-    """One row per key: the entries of the product matrix of (design, y), in order."""
+    """One row per key: the entries of the product matrix of (design, y), in order; none where no row takes part."""
     keys, p = list(keys), len(design)
     used = design.used(df, y)
     cells = used.groupBy(*keys, *design.variables).agg(
@@ -111,7 +111,7 @@ def product_sums(df: DataFrame, y: str, design: Design, keys: list[str] = ()) ->
     summed = entries.groupBy(*keys, "_pos").agg(F.sum("_v").alias("_v"))
     return summed.groupBy(*keys).agg(  # (p + 1)^2 numbers
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda e: e["_v"]).alias("_m")
-    )
+    ).where(F.size("_m") > 0)
 
 
 class Solved:

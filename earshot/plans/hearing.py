@@ -45,9 +45,9 @@ def over_threshold(spark, sf):
     return reaction.over_threshold(reaction.go_hits(analysis(spark, sf)), thresholds(spark, sf))
 
 
-def counted_over_threshold(spark, sf):
-    """Counted hits above threshold; trials are read once for thresholds and times."""
-    cells = cut_lineage(reaction.counted(analysis(spark, sf)))
+def counted_over_threshold(spark, sf, extra=()):
+    """Counted hits above threshold, also by ``extra``; trials are read once for thresholds and times."""
+    cells = cut_lineage(reaction.counted(analysis(spark, sf), extra=extra))
     th = curves.thresholds(sdt.dprime_table(cells, weight="n"), PARAMS.th_cutoff)
     return reaction.over_threshold(reaction.go_hits(cells), th)
 

@@ -10,17 +10,16 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from earshot.operators import curves, reaction, sdt
+from earshot.operators import curves, linear, reaction, sdt
 from earshot.operators.blocks import drop_first_block
 from earshot.params import Params
+from earshot.plans import registry
 from earshot.sources import stand_ins
 
 SF = "/root/testdata/sf0.001"
+COMPARED_AT = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-COMPARED = [
-    "session_classify", "expected_files", "file_check", "trial_count_check", "dprime_all_trials", "rxn_box", "block_count",
-    "abr_subjects", "abr_cell_means", "ranksum_1_week", "kruskal_rxn_all_trials", "abr_anova_threshold",
-]
+COMPARED = sorted(registry.SQL)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no stored tables here")
 
@@ -29,25 +28,33 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no stored tables
 def duck():
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{COMPARED_AT}/{t}.parquet'")
     return con
 
 
 def normal(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else (float(v) if not isinstance(v, str) else v)
+    clean = lambda v: None if v is None or v is pd.NA or v != v else (float(v) if not isinstance(v, str) else v)
     rows = [tuple(clean(v) for v in r) for r in df.astype(object).itertuples(index=False)]
     return sorted(rows, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
 
 
 @pytest.mark.parametrize("name", COMPARED)
 def test_query_equals_sql(spark, duck, name):
-    got = entry.queries()[name](spark, SF).toPandas()
+    got = entry.queries()[name](spark, COMPARED_AT).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)
 
 
+def test_models_of_nothing(spark):
+    none = stand_ins.table(spark, SF, "lineitem").where(F.lit(False)).select(F.col("l_tax").cast("double").alias("y"), F.col("l_shipmode").alias("a"))
+    terms, levels = [("a",)], {"a": ["AIR", "RAIL"]}
+    for made in (linear.anova(none, "y", terms, levels), linear.coefficients(none, "y", terms, levels),
+                 linear.residuals(none, "y", terms, levels), linear.tukey(none, "y", terms, levels, "a")):
+        assert made.count() == 0
+
+
 def test_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
