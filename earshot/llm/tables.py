@@ -24,8 +24,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def salted_join(rows: DataFrame, few: DataFrame, on: list[str], by: str, salts: int = 16) -> DataFrame:
-    """Inner join of many rows to one row per key; rows of a hot key are spread by the hash in column ``by``."""
+def salted_join(rows: DataFrame, few: DataFrame, on: list[str], by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join of many rows to one row per key; rows of a hot key are spread by the hash in column ``by``."""
     salt = F.pmod(F.col(by), F.lit(salts)).cast("int")
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
