@@ -8,9 +8,11 @@ Multiplicative weights solve it: a length weighs less the more of its pieces are
 ``exp(-EPSILON * covered)`` over its number of pieces. Pricing is a knapsack over the
 capacity by dynamic programming; one table of it gives, for every length, the best
 configuration that holds it, and all configurations within ``EPSILON`` of the best one that
-share no length are taken up together before weights change. Rounding takes whole sequences
-of the configurations in order of their share, as far as pieces are left, and the program is
-solved again for what is left while that gets less. What remains is completed greedily: the
+share no length are taken up together before weights change. Weights over the value of the
+best configuration are a dual solution; kept is the greatest of these, of their mean over the
+later pricings, and of the lengths themselves over the capacity. Rounding takes whole sequences of the configurations that are
+tight under it (complementary slackness), in order of their share and as far as pieces are
+left, fills up their room with the longest pieces that fit, and the program is solved again for what is left while that gets less. What remains is completed greedily: the
 longest piece, then the lengths that fill the rest best (subset sums), as often as there are
 pieces for it; each such step uses up a length, so their number does not grow with the counts.
 """
@@ -23,6 +25,7 @@ import numpy as np
 
 EPSILON = 0.25
 TARGET = 12  # how often each length is to be covered before the shares are read off
+TIGHT = 0.98  # value under the dual from which a configuration may be taken when rounding
 MOST_PRICINGS = 60  # of one solution; rounding keeps to whole pieces whatever the shares are
 Configuration = tuple[tuple[int, int], ...]  # (length, pieces of it), longest first
 
@@ -43,11 +46,14 @@ def priced(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.nda
     return best, took, left
 
 
-def shares(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
-    """Configurations (ascending places in ``sizes``, repeats included) with their numbers of sequences, and a lower bound."""
+def shares(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """Configurations (ascending places in ``sizes``, repeats included) with their numbers of sequences, and a dual solution.
+
+    The dual's values of no configuration add up to more than one, so over all pieces they are a lower bound.
+    """
     covered = np.zeros(len(sizes))
     found: dict[tuple[int, ...], float] = {}
-    bound = 0.0
+    duals = [sizes / capacity]
     for _ in range(MOST_PRICINGS):
         short = covered < TARGET
         if not short.any():
@@ -55,7 +61,7 @@ def shares(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[t
         low = covered[short].min()
         weights = np.where(short, np.exp(-EPSILON * (covered - low)), 0.0) / demand
         best, took, left = priced(sizes, weights, capacity)
-        bound = max(bound, float((weights * demand).sum() / best[capacity]))  # weights over the best value are a dual solution
+        duals.append(weights / best[capacity])
         holding = weights + best[capacity - sizes]
         near = np.flatnonzero(short & (holding >= (1 - EPSILON) * best[capacity]))
         touched = np.zeros(len(sizes), bool)
@@ -74,7 +80,7 @@ def shares(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[dict[t
             found[tuple(items)] = found.get(tuple(items), 0.0) + times
             covered[at] += times * copies / demand[at]
             touched[at] = True
-    return {k: v / TARGET for k, v in found.items()}, bound
+    return {k: v / TARGET for k, v in found.items()}, max([*duals, np.mean(duals[1 + len(duals) // 2:] or duals, axis=0)], key=lambda d: float((d * demand).sum()))
 
 
 def completed(left: dict[int, int], capacity: int) -> Counter:
@@ -116,29 +122,47 @@ def completed(left: dict[int, int], capacity: int) -> Counter:
     return out
 
 
+def filled(needs: Counter, left: dict[int, int], capacity: int) -> Counter | None:
+    """A configuration with the longest pieces that still fit beside it, or None where its own are not left."""
+    if any(left[s] < n for s, n in needs.items()):
+        return None
+    room = capacity - sum(s * n for s, n in needs.items())
+    held = Counter(needs)
+    for s in reversed(left):  # ascending by length
+        more = min(room // s, left[s] - held[s])
+        if more > 0:
+            held[s] += more
+            room -= s * more
+    return held
+
+
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Configuration, int]], float]:
     """Configurations with their numbers of sequences, which hold exactly the pieces of the histogram, and a lower bound on sequences."""
     left = {s: n for s, n in sorted(histogram.items()) if n > 0}
-    total = sum(s * n for s, n in left.items())
     out: Counter[Configuration] = Counter()
     bound = None
     while left:
         sizes, demand = np.array(list(left)), np.array(list(left.values()), float)
-        found, lower = shares(sizes, demand, capacity)
-        bound = lower if bound is None else bound
+        found, dual = shares(sizes, demand, capacity)
+        bound = float((dual * demand).sum()) if bound is None else bound
         before = sum(s * n for s, n in left.items())
-        ranked = sorted(found.items(), key=lambda f: -f[1])
+        ranked = sorted((f for f in found.items() if dual[list(f[0])].sum() >= TIGHT), key=lambda f: -f[1])
         for whole in (True, False):
             for items, x in ranked:
                 needs = Counter(sizes[list(items)].tolist())
-                times = min(int(x) if whole else 1, *(left.get(s, 0) // n for s, n in needs.items()))
-                if times > 0:
-                    out[tuple(sorted(needs.items(), reverse=True))] += times
-                    for s, n in needs.items():
+                wanted = int(x) if whole else 1
+                while wanted > 0:
+                    held = filled(needs, left, capacity)
+                    times = min(wanted, *(left[s] // n for s, n in held.items())) if held else 0
+                    if not times:
+                        break
+                    wanted -= times
+                    out[tuple(sorted(held.items(), reverse=True))] += times
+                    for s, n in held.items():
                         left[s] -= n * times
         left = {s: n for s, n in left.items() if n}
         # another solution while the last one placed most of what there was
         if 2 * sum(s * n for s, n in left.items()) > before:
             break
     out += completed(left, capacity)
-    return sorted(out.items(), reverse=True), max(bound or 0.0, total / capacity)
+    return sorted(out.items(), reverse=True), bound or 0.0

