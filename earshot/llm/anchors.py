@@ -30,17 +30,14 @@ class Chunk:
         self.raws = [t.encode() for t in texts]
         self.w = w = bytewords.Words(self.raws)
         self.n = len(w.start)
-        up, down = bytewords.powers(self.n + 1)
-        self.down = down
-        words = w.hashes(w.start, w.end)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)])
+        self.hashes = bytewords.Rolling(w.hashes(w.start, w.end))
         self.begin = np.repeat(w.bound[:-1], w.counts)  # first word of each word's text, and the one after its last
         self.stop = np.repeat(w.bound[1:], w.counts)
 
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of ``size`` words start, and their hashes."""
         at = np.flatnonzero(np.arange(self.n) + size <= self.stop)
-        return at, bytewords.mixed((self.sums[at + size] - self.sums[at]) * self.down[at])
+        return at, self.hashes(at, at + size)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, chunk_bytes: int = exchange.CHUNK_BYTES) -> DataFrame:

@@ -13,6 +13,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two prime moduli below 2**31 with a base each: products of residues stay below 2**64.
+PRIMES = (2_147_483_647, 2_147_483_629)
+BASES = (1_103_515_245, 1_664_525_013)
+_residues = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in PRIMES]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -23,6 +27,40 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def residues(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse modulo its prime; kept between batches."""
+    prime, base = PRIMES[which], BASES[which]
+    for k, step in enumerate((base, pow(base, -1, prime))):
+        known = _residues[which][k]
+        while len(known) < n:
+            known = np.concatenate([known, known * np.uint64(pow(step, len(known), prime)) % np.uint64(prime)])
+        _residues[which][k] = known
+    return _residues[which][0][:n], _residues[which][1][:n]
+
+
+class Rolling:
+    """Hashes of any ranges of a sequence of numbers, as polynomials modulo two primes.
+
+    Sums modulo a power of two would not do: there, whatever the base, some strings of a
+    thousand symbols (Thue and Morse's and its complement) always meet.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.parts = []
+        for k, prime in enumerate(map(np.uint64, PRIMES)):
+            up, down = residues(len(values) + 1, k)
+            terms = (values % prime if values.dtype.itemsize > 4 else values.astype(np.uint64) + np.uint64(1)) * up[:-1] % prime
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])  # below 2**64 for 2**33 terms
+            self.parts.append((prime, sums, down))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the ranges; equal ranges get equal hashes."""
+        (p, a, x), (q, b, y) = self.parts
+        first = (a[end] - a[start]) % p * x[start] % p
+        second = (b[end] - b[start]) % q * y[start] % q
+        return mixed((first << np.uint64(32) | second) ^ (end - start).astype(np.uint64) * np.uint64(_ODD))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits spread so that sums of the results show no pattern."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,10 +95,16 @@ class Words:
         self.blank = blank
         self.bound = np.searchsorted(self.start, np.append(self.first, len(self.bytes)))  # words of text i: bound[i]:bound[i + 1]
         self.counts = np.diff(self.bound)
-        self._sums = None
+        self._sums = self._rolling = None
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges; equal ranges get equal hashes."""
+        if self._rolling is None:
+            self._rolling = Rolling(self.bytes)
+        return self._rolling(start, end)
+
+    def marks(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Quicker numbers for byte ranges, equal for equal ranges, that may meet for others: to choose by, not to compare by."""
         up, down = powers(len(self.bytes) + 1)
         if self._sums is None:
             self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes + np.uint64(1)) * up[:-1], dtype=np.uint64)])

@@ -1,7 +1,9 @@
 """Chunks of texts, and finding values that several chunks share.
 
-Texts are dealt to chunks of a few megabytes by the hash of their key; the number of chunks
-follows the size of the input. A chunk reduces what it found to sorted distinct values, so a
+Texts are dealt to chunks of a few megabytes by the hash of their key and text; the number of
+chunks follows the size of the input. A key that a third of the rows share is spread by its
+texts. Rows equal in both go to one chunk, as nothing in them could tell them apart again when
+a lost task is repeated. A chunk reduces what it found to sorted distinct values, so a
 value costs one entry per chunk however often it occurs there. The entries go to buckets by
 value, where equal ones meet, and each chunk gets back those of its values that count.
 """
@@ -27,7 +29,7 @@ def chunked(docs: DataFrame, key: str, text: str, chunk_bytes: int = CHUNK_BYTES
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / chunk_bytes))
-    return texts.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(n))).repartition("chunk"), n
+    return texts.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(n))).repartition("chunk"), n
 
 
 def buckets_for(chunks: int) -> int:

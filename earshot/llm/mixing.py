@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm.tables import salted_join, written
+from earshot.llm.tables import fresh, salted_join, written
 
 WEIGHTS = [1, 2, 3]  # repeated over the sources in order
 MOST_COPIES = 3
@@ -160,7 +160,20 @@ def _filled(classes: DataFrame, goals: DataFrame, most: int) -> DataFrame:
     begin = F.struct(F.abs("off").alias("left"), F.array().alias("out")).cast(state)
     changes = fits.select("source_key", F.signum("off").cast("long").alias("sign"), F.explode(F.aggregate("sizes", begin, take, lambda s: s["out"])).alias("c"))
     changes = changes.select("source_key", F.col("c.size").alias("size"), (F.col("sign") * F.col("c.m")).alias("change"))
-    return classes.join(changes, ["source_key", "size"], "left").select(
+    filled = classes.join(changes, ["source_key", "size"], "left").select(
+        "source_key", "size", "n", "rate", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
+    return _nearest(filled, goals, most)
+
+
+def _nearest(classes: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+    """One more copy, of the smallest document that can still be added (or taken away), where going past the target comes nearer to it."""
+    have = classes.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("have"))
+    off = have.join(goals, "source_key").select("source_key", (F.col("target") - F.col("have")).alias("off"))
+    room = F.when(F.col("off") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+    best = classes.join(off, "source_key").where(room > 0).groupBy("source_key", "off").agg(F.min("size").alias("size"))
+    change = best.where(F.abs(F.abs("off") - F.col("size")) < F.abs("off")).select(
+        "source_key", "size", F.signum("off").cast("long").alias("change"))
+    return classes.join(change, ["source_key", "size"], "left").select(
         "source_key", "size", "n", "rate", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
 
 
@@ -189,15 +202,16 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     Copies are joined by key, source and size. Where several rows share these, their copies
     are dealt to them one by one, so together they are taken as often as ``mix`` says.
     """
+    own, dealt, turn, n = (fresh(docs, c) for c in ("own", "dealt", "turn", "times"))
     mixed = mix(docs, key, text, source, most)
-    few = mixed.groupBy(F.struct(F.col(key), F.col("source"), F.col("size")).alias("_is")).agg(F.collect_list("copies").alias("_copies"))
-    few = few.select("_is", F.sort_array("_copies", asc=False).alias("_copies")).where(F.col("_copies")[0] > 0)
+    few = mixed.groupBy(F.struct(F.col(key).alias("key"), F.col("source"), F.col("size")).alias(own)).agg(F.collect_list("copies").alias(dealt))
+    few = few.select(own, F.sort_array(dealt, asc=False).alias(dealt)).where(F.col(dealt)[0] > 0)
     size = size_of(F.col(f"`{text}`").cast("string"))
-    own = F.struct(F.col(f"`{key}`").alias(key), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"))
-    joined = docs.withColumn("_is", own).join(few, "_is")  # structs with equal NULLs are equal
-    place = F.row_number().over(Window.partitionBy("_is").orderBy(F.lit(0)))
-    alone = F.size("_copies") == 1
-    rows = joined.where(alone).withColumn("_n", F.col("_copies")[0]).unionByName(
-        joined.where(~alone).withColumn("_n", F.get("_copies", place - 1)))
-    rows = rows.where("_n > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    named = F.struct(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"))
+    joined = docs.withColumn(own, named).join(few, own)  # structs with equal NULLs are equal
+    place = F.row_number().over(Window.partitionBy(own).orderBy(F.lit(0)))
+    alone = F.size(dealt) == 1
+    rows = joined.where(alone).withColumn(n, F.col(dealt)[0]).unionByName(
+        joined.where(~alone).withColumn(n, F.get(dealt, place - 1)))
+    rows = rows.where(F.col(n) > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

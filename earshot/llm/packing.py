@@ -15,23 +15,24 @@ length is NULL, below one or above the capacity get a NULL place. Columns the ca
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
+from earshot.llm.bpe import split_patterns
 from earshot.llm.configurations import plan
 from earshot.llm.tables import written
 
 CAPACITY = 2048
 END_ID = 0
 KEPT_PIECES = 400_000  # distinct pre-tokens a worker remembers; forgetting them changes no ids
-TEXTS = 50  # texts whose new pre-tokens are looked up together
+TEXTS = 500  # texts whose pieces are sent on together
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,9 +45,9 @@ def byte_letters() -> dict[int, str]:
 class Coder(dict):
     """Pre-token to its ids (little-endian unsigned 32-bit), by the tokenizer's own model."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, patterns: tuple[str, str]) -> None:
         self.model = Tokenizer.from_file(path).model
-        self.split = regex.compile(pattern).findall
+        self.latin, self.any = (re.compile(p).findall for p in patterns)
         self.letters = byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
@@ -56,6 +57,16 @@ class Coder(dict):
         ids = self[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
         return ids
 
+    def __bool__(self) -> bool:
+        return True
+
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+            return self.latin(text)
+        except UnicodeEncodeError:
+            return self.any(text)
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, self.split(text or "")))
 
@@ -72,17 +83,22 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", t
     """
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast({"parts": (tokenizer, split_patterns(pattern))})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(tokenizer, pattern)
+        state = shared.value  # one object per Python worker, so the coder lasts for all its tasks
+        coder = state["coder"] = state.get("coder") or Coder(*state["parts"])
         for pdf in batches:
             for i in range(0, len(pdf), TEXTS):
-                rows = []
-                for k, t in zip(pdf["key"].iloc[i:i + TEXTS], pdf["text"].iloc[i:i + TEXTS]):
+                some, of, rows = pdf.iloc[i:i + TEXTS], [], []
+                for j, t in enumerate(some["text"]):
                     ids = coder.ids(t) + end
                     at = cuts(len(ids) // 4, limit)
-                    rows += [(k, p, a, b - a, ids[4 * a:4 * b]) for p, (a, b) in enumerate(zip(at, at[1:]))]
-                yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids"]).astype({"key": pdf["key"].dtype})
+                    rows += [(p, a, b - a, ids[4 * a:4 * b]) for p, (a, b) in enumerate(zip(at, at[1:]))]
+                    of += [j] * (len(at) - 1)
+                found = pd.DataFrame(rows, columns=["piece", "start", "length", "ids"])
+                found.insert(0, "key", some["key"].array.take(of))
+                yield found
 
     return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInPandas(
         cut, f"key {kind}, piece int, start long, length long, ids binary").withColumnRenamed("key", key)

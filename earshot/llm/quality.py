@@ -4,7 +4,9 @@ Repetition is read off a suffix array over the text's words. Each interval of su
 with a common prefix stands for a repeated substring; the deepest interval of each suffix
 gives the maximal one from there on. The union of all repeats of at least ``LEAST_REPEAT``
 words is the covered part; the longest one counts by itself. A text fails where the
-covered part or the longest repeat is too large a share of it.
+covered part or the longest repeat is too large a share of it, or the longest repeat too long
+for any text. The base rule counts words; the covered share counts their characters, and has
+the lower limit.
 
 One pass over the texts where they lie, nothing is shuffled; memory follows the batch or
 the longest text. NULL, empty and blank texts have no words and fail the base rule. Each
@@ -27,8 +29,9 @@ LEAST_WORDS = 10
 WINDOW = 5  # words of the base rule's repeated windows
 MOST_REPEATED = 0.20  # share of words in repeated windows
 LEAST_REPEAT = 10  # words of a repeat that counts for the verdict
-MOST_COVERED = 0.20  # share of the words' characters that repeats cover
+MOST_COVERED = 0.15  # share of the words' characters that repeats cover
 MOST_LONGEST = 0.30  # share of words in the longest repeat
+LONGEST_WORDS = 200  # a repeat of more words fails in a text of any length
 SYMBOLS = b"#*$%&|<>"  # fixed values
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_chars", "longest_repeat"]
 SHAPE = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
@@ -106,4 +109,5 @@ def assess(docs: DataFrame, text: str = "text", out: str = "quality") -> DataFra
 
 
 def _too_repetitive(q: Column) -> Column:
-    return (q["covered_chars"] > MOST_COVERED * q["word_chars"]) | (q["longest_repeat"] > MOST_LONGEST * q["n_words"])
+    return (q["covered_chars"] > MOST_COVERED * q["word_chars"]) | (
+        q["longest_repeat"] > MOST_LONGEST * q["n_words"]) | (q["longest_repeat"] > LONGEST_WORDS)

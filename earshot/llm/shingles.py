@@ -1,11 +1,8 @@
-"""Runs of words of a text and their hashes."""
+"""Runs of words of a text."""
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
-import xxhash
 
 SEED = 42
 
@@ -19,9 +16,3 @@ def shingles(text: str | None, shingle: int) -> list[bytes]:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, ends[:-shingle] + 1).tolist()
     return [joined[a:b] for a, b in zip(starts, ends[shingle - 1:].tolist())]
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    parts = shingles(text, shingle)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))

@@ -24,10 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm import resemblance
 from earshot.llm.components import components
 from earshot.llm.shingles import SEED, shingles
-from earshot.llm.tables import written
+from earshot.llm.tables import fresh, row_id, salted_join, written
 
 BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]  # bit ranges
 DISTANCE = 2  # bits; five blocks are made for it
@@ -97,32 +96,24 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     named = reps.join(_named(reps.select("fp")), "fp")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = written(named.join(least, "component").select("fp", "component_id"))
-    return rows.join(labels, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    # copies share a fingerprint, and a third of all rows may be copies of one text
+    spread = rows.withColumn("by", F.monotonically_increasing_id())
+    return salted_join(spread, labels, ["fp"], "by").select(F.col("key").alias(key), "fp", "component_id")
 
 
-def _row_hash(docs: DataFrame):
-    """A hash of the whole row (maps and variants, which have none, left out)."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
-
-
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, percent: int | None = None) -> DataFrame:
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """One row of each group, the first by key (NULL last) and hash of the row, all columns as they are.
 
-    Groups are the components of links, whatever their keys: rows with a NULL key or the
-    key of another group stay apart. Links are those of ``groups`` or, with ``percent``,
-    all pairs of texts whose shingle sets have at least that Jaccard similarity.
+    Groups are the components of the links of ``groups``, whatever their keys: rows with a NULL
+    key or the key of another group stay apart.
     """
-    keyed = docs.withColumn("_row", _row_hash(docs))
-    whole = F.col(f"`{text}`").cast("string")
-    if percent is None:
-        rows = written(keyed.select(F.col(f"`{key}`").alias("key"), "_row", fingerprint_column(shingle)(whole).alias("fp")))
-        named = _named(rows.select("fp").distinct())
-    else:
-        texts = keyed.select(F.col(f"`{key}`").alias("key"), "_row", whole.alias("text"))
-        marked = resemblance.marked(texts, shingle, percent)
-        rows, named = marked.select("key", "_row", F.col("node").alias("fp")), resemblance.named(texts.drop("key"), marked, shingle, percent)
-    place = F.struct(F.col("key").isNull().alias("last"), "key", "_row")
-    first = rows.groupBy("fp").agg(F.min(place).alias("p")).join(named, "fp").groupBy("component").agg(F.min("p").alias("p"))
-    keep = first.select(F.col("p._row").alias("_kept"))
+    mark = fresh(docs, "row")
+    keyed = docs.withColumn(mark, row_id(docs))
+    rows = written(keyed.select(
+        F.col(f"`{key}`").alias("key"), F.col(mark).alias("row"), fingerprint_column(shingle)(F.col(f"`{text}`").cast("string")).alias("fp")))
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "row")
+    first = rows.groupBy("fp").agg(F.min(place).alias("p")).join(_named(rows.select("fp").distinct()), "fp").groupBy("component").agg(
+        F.min("p").alias("p"))
+    keep = first.select(F.col("p.row").alias(mark))
     # what is kept twice is the same row
-    return keyed.join(keep, keyed["_row"] == keep["_kept"], "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return keyed.join(keep, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)

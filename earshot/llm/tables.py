@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def row_id(df: DataFrame) -> Column:
+    """Two independent hashes of the whole row (maps and variants, which have none, left out): equal rows share it."""
+    whole = [F.col(f"`{f.name}`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    # a NULL does not change a hash, so which columns are NULL goes in as well
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in whole])
+    return F.struct(F.xxhash64(nulls, *whole).alias("a"), F.xxhash64(F.lit("second"), nulls, *reversed(whole)).alias("b"))
+
+
 def salted_join(rows: DataFrame, few: DataFrame, on: list[str], by: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """Join of many rows to one row per key; rows of a hot key are spread by the hash in column ``by``."""
     salt = F.pmod(F.col(by), F.lit(salts)).cast("int")

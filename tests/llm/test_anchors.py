@@ -9,6 +9,7 @@ import pytest
 
 from earshot.llm import anchors, exchange
 from earshot.llm.q_anchors import SQL, op10_anchors
+from test_quality import thue_morse
 
 
 def brute(texts, window):
@@ -65,3 +66,13 @@ def test_query_equals_sql(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     full = dict(zip(texts, brute(texts.values(), 35)))
     assert all(r.kept_sha256 == hashlib.sha256(full[r.doc_id][2].encode()).hexdigest() for r in got)
+
+
+def test_texts_that_simple_hashes_confuse(spark, documents):
+    rnd = random.Random(11)
+    a, b = thue_morse(10)
+    own = [str(rnd.randrange(10**9)) for _ in range(34)]
+    rows = [(None, " ".join([*own[:20], w, *own[20:]])) for w in (a, b)]  # one NULL key
+    got = sorted((r.n_removed, r.n_words) for r in anchors.remove_repeats(documents(rows)).collect())
+    want = sorted((t[1], t[0]) for t in brute([t for _, t in rows], 35))
+    assert got == want

@@ -51,6 +51,29 @@ def test_long_and_repeated():
     check([passage + "\nx\n" + passage, "a " * 300, "", None, "   ", " ".join(rnd.choice(words) for _ in range(400)), "x", passage])
 
 
+def thue_morse(halvings):
+    """Two strings that polynomial hashes modulo a power of two can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(halvings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_lines_that_simple_hashes_confuse():
+    for halvings in (10, 11, 12):
+        a, b = thue_morse(halvings)
+        check([f"{a}\n{b}", f"{a}\n{b}\n{a}", " ".join([a, "x", "y", "z", "w"]) + " " + " ".join([b, "x", "y", "z", "w"])])
+
+
+def test_what_only_the_repeats_reject(spark, documents):
+    rnd = random.Random(8)
+    own = lambda n: " ".join(str(rnd.randrange(10**9)) for _ in range(n))
+    passage = own(250)
+    rows = [(1, passage + " " + own(6000) + " " + passage), (2, own(6000)), (3, own(15) + " " + own(3000))]
+    got = {r.doc_id: (r.quality.base_failed, r.quality.kept) for r in quality.assess(documents(rows)).collect()}
+    assert got == {1: (False, False), 2: (False, True), 3: (False, True)}
+
+
 def test_rules(spark, documents):
     rnd = random.Random(4)
     clean = " ".join(f"{rnd.randrange(10**6)}" for _ in range(300))

@@ -7,6 +7,7 @@ import pytest
 
 from earshot.llm import lcpmerge, substrings
 from earshot.llm.q_substrings import SQL, op5_substrings
+from test_quality import thue_morse
 
 
 def brute(texts, window):
@@ -70,3 +71,13 @@ def test_query_equals_sql(spark):
     cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     want = sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({SQL})").fetchall())
     assert sorted(tuple(r[c] for c in cols) for r in op5_substrings(spark, sf).collect()) == want
+
+
+def test_texts_that_simple_hashes_confuse(spark, documents):
+    rnd = random.Random(11)
+    a, b = thue_morse(10)
+    own = [str(rnd.randrange(10**9)) for _ in range(2)]
+    rows = [(None, own[0] + w + own[1]) for w in (a, b)]  # one NULL key
+    got = sorted((r.n_removed, r.n_bytes) for r in substrings.remove_repeats(documents(rows)).collect())
+    want = sorted((t[1], t[0]) for t in brute([t for _, t in rows], 200))
+    assert got == want
