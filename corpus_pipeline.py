@@ -13,28 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.llm import bpe, mixing, pii, quality, simhash
-from earshot.llm.tables import table, written
+from earshot.llm.tables import fresh, table, written
 
 #: Suffix arrays, SimHash, trees and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
+SHINGLE = 3  # words; the distance is simhash.DISTANCE
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.assess(docs, out="_quality").where("_quality.kept").drop("_quality")
+    verdict = fresh(docs, "verdict")
+    return quality.assess(docs, out=verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: 80% of all runs of five words in common."""
-    return simhash.first_of_each(docs, shingle=5, percent=80)
+    """One document of each group whose fingerprints of three-word runs are linked at two bits or fewer."""
+    return simhash.first_of_each(docs, shingle=SHINGLE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without personal data."""
-    found = pii.find(docs, pii.fit(docs), out="_pii").withColumn("_clean", pii.redacted(F.col("text"), F.col("_pii")))
-    changed = F.size("_pii") > 0
-    n_chars = F.when(changed, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumns({"text": F.col("_clean"), "n_chars": n_chars}).select(*docs.columns)
+    spans, clean = fresh(docs, "spans"), fresh(docs, "clean")
+    found = pii.find(docs, pii.fit(docs), out=spans).withColumn(clean, pii.redacted(F.col("text"), F.col(spans)))
+    n_chars = F.when(F.size(spans) > 0, F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumns({"text": F.col(clean), "n_chars": n_chars}).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
