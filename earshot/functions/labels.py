@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from earshot.params import BACKGROUND_LABELS, PHASE_ENDINGS
+from earshot.params import BACKGROUND_LABELS, NOISE_TITLES, PHASE_ENDINGS, NOISE_TITLES
 
 
 def condition_of(phase: Column) -> Column:
@@ -30,6 +30,14 @@ def background_label(bg_type: Column, bg_intensity: Column) -> Column:
     return out.otherwise("ISSUE")
 
 
+def noise_title(bg_type: Column) -> Column:
+    """Title of a background noise by its type; NULL for types that are not listed."""
+    out = None
+    for kind, title in NOISE_TITLES.items():
+        out = F.when(bg_type == kind, title) if out is None else out.when(bg_type == kind, title)
+    return out
+
+
 def stim_kind(freq: Column) -> Column:
     """0 becomes BBN, any other frequency ``<f>kHz`` without trailing zeros."""
     whole = freq == F.floor(freq)

@@ -14,6 +14,11 @@ from earshot.operators.reshape import long, wide
 from earshot.params import CURVE_KEYS, STIM_TYPES, TH_KEYS
 from earshot.session import cut_lineage
 
+#: Product of the two eigenvalues of a scaled 3 x 3 normal matrix below which it counts as having one.
+RANK_TWO = 1e-12
+#: Share of the squared bandwidth from which a point has no weight, so that rounding gives none to the q-th one.
+NEAR = 0.999
+
 
 def _halvings(share: float) -> int:
     """Halvings after which every cell holds at most that share of its curve's points, or one point.
@@ -55,6 +60,36 @@ def _solve(s: list[Column], t: list[Column]) -> tuple[Column, Column]:
     return F.try_divide(value, det), F.try_divide(slope, det)
 
 
+def _with_solution(rows: DataFrame, s: list[Column], t: list[Column], points: Column) -> DataFrame:
+    """Adds ``_value`` and ``_slope`` at the origin whatever the number of points with weight, one at least.
+
+    One or two points leave the quadratic undetermined. Of all through them it is the one of
+    least norm after every column of the design is scaled to length one: the pseudo-inverse of
+    the scaled normal matrix N. With at most two eigenvalues that are not zero, sum e1 and
+    product e2, it is ((e1^2 - e2) N - e1 N^2) / e2^2, or N / e1^2 where there is only one.
+    The steps are columns of their own, so that no expression repeats another.
+    """
+    c = F.col
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    n = lambda i, j: c(f"_n{min(i, j)}{max(i, j)}")
+    steps = [
+        {f"_i{j}": F.when(d > 0, 1 / F.sqrt(d)).otherwise(0.0) for j, d in enumerate((s[0], s[2], s[4]))},
+        {f"_n{i}{j}": s[i + j] * c(f"_i{i}") * c(f"_i{j}") for i, j in pairs} | {f"_r{j}": t[j] * c(f"_i{j}") for j in range(3)},
+        {f"_g{i}": n(i, 0) * c("_r0") + n(i, 1) * c("_r1") + n(i, 2) * c("_r2") for i in range(3)} | {
+            "_e1": n(0, 0) + n(1, 1) + n(2, 2),
+            "_e2": sum(n(i, i) * n(j, j) - n(i, j) * n(i, j) for i, j in pairs if i < j)},
+    ]
+    for step in steps:
+        rows = rows.withColumns(step)
+    short = []
+    for i in range(2):
+        twice = n(i, 0) * c("_g0") + n(i, 1) * c("_g1") + n(i, 2) * c("_g2")
+        both = ((c("_e1") * c("_e1") - c("_e2")) * c(f"_g{i}") - c("_e1") * twice) / (c("_e2") * c("_e2"))
+        short.append(c(f"_i{i}") * F.when(c("_e2") > RANK_TWO, both).otherwise(F.try_divide(c(f"_g{i}"), c("_e1") * c("_e1"))))
+    solved = [F.when(points >= 3, full).when(points >= 1, few) for full, few in zip(_solve(s, t), short)]
+    return rows.withColumns({"_value": solved[0], "_slope": solved[1]}).drop(*[name for step in steps for name in step])
+
+
 def local_fit(
     points: DataFrame, keys: list[str], x: str, y: str,
     span: float = 0.75, cell: float = 0.2, margin: float = 0.005, longest: int = 500,
@@ -67,8 +102,10 @@ def local_fit(
     Hermite pieces.
 
     ``x`` must be distinct within a curve. The bandwidth is the distance to the
-    q-th nearest point, q = floor(span * n). Where a border has fewer than three
-    points of positive weight the quadratic is not determined and ``fitted`` is NULL.
+    q-th nearest point, q = floor(span * n). Where a border has only one or two
+    points of positive weight (short curves) the quadratic is the one of least norm
+    among those through them; a border with none leaves ``fitted`` NULL (curves of up to
+    three points, for which the span is too small).
 
     Curves of up to ``longest`` points (counted first) are fitted each in one row;
     longer ones by joins and aggregates that send a point to some twenty fits.
@@ -115,13 +152,12 @@ def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell
         c -> (_p[int(c.l) - 2].x + _p[int(c.l) - 1].x) / 2), array(_p[_n - 1].x + _w))"""
     bands = """filter(transform(_borders, v -> named_struct('v', v, 'h',
         get(array_sort(transform(_p, e -> abs(e.x - v))), _q - 1))), b -> b.h > 0)"""
-    near = """transform(_fits, b -> named_struct('v', b.v, 'h', b.h, 'near', transform(filter(
-        transform(_p, e -> named_struct('u', (e.x - b.v) / b.h, 'y', e.y)), e -> abs(e.u) < 1),
+    near = f"""transform(_fits, b -> named_struct('v', b.v, 'h', b.h, 'near', transform(filter(
+        transform(_p, e -> named_struct('u', (e.x - b.v) / b.h, 'y', e.y)), e -> e.u * e.u < {NEAR}),
         e -> named_struct('u', e.u, 'y', e.y, 'w', pow(1 - pow(abs(e.u), 3), 3)))))"""
     summed = f"""transform(_fits, b -> named_struct('v', b.v, 'h', b.h, 'k', size(b.near), 'm', aggregate(b.near,
         named_struct({_ZEROS}), (m, e) -> named_struct({_ADD}))))"""
     moments = [F.col(f"_s.m.{name}") for name in _SUMS]
-    value, slope = _solve(moments[:5], moments[5:])
     curve = (
         pts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"))
         .withColumn("_n", F.size("_p"))
@@ -134,11 +170,9 @@ def _fit_rows(pts: DataFrame, keys: list[str], x: str, y: str, span: float, cell
     )
     for name, text in (("_borders", borders), ("_fits", bands), ("_fits", near), ("_fits", summed)):
         curve = curve.withColumn(name, F.expr(text))
-    enough = F.col("_s.k") >= 3
     rows = (
-        curve.select(*keys, "_p", F.explode_outer("_fits").alias("_s"))
-        .select(*keys, "_p", F.struct(F.col("_s.v").alias("v"), F.when(enough, value).alias("f"),
-                                      F.when(enough, slope / F.col("_s.h")).alias("d")).alias("_fit"))
+        _with_solution(curve.select(*keys, "_p", F.explode_outer("_fits").alias("_s")), moments[:5], moments[5:], F.col("_s.k"))
+        .select(*keys, "_p", F.struct(F.col("_s.v").alias("v"), F.col("_value").alias("f"), (F.col("_slope") / F.col("_s.h")).alias("d")).alias("_fit"))
         .groupBy(*keys).agg(F.array_sort(F.collect_list("_fit")).alias("_fits"), F.first("_p").alias("_p"))
         .select(*keys, "_fits", F.explode("_p").alias("_e"))
         .select(*keys, "_fits", F.col("_e.x").alias(x), F.col("_e.y").alias(y))
@@ -196,7 +230,7 @@ def _fit_joined(pts: DataFrame, keys: list[str], x: str, y: str, span: float, ce
     w = F.pow(1 - F.pow(F.abs(F.col("_u")), F.lit(3)), F.lit(3))
     weighed = (
         attach(pairs, bands, [*keys, "_v"]).where(F.col("_h") > 0)
-        .withColumn("_u", u).where(F.abs("_u") < 1).withColumn("_w", w)
+        .withColumn("_u", u).where(F.col("_u") * F.col("_u") < NEAR).withColumn("_w", w)
     )
     moment = lambda k, extra=1.0: F.sum(F.col("_w") * F.pow(F.col("_u"), F.lit(k)) * extra)
     sums = weighed.groupBy(*keys, "_v").agg(
@@ -204,12 +238,10 @@ def _fit_joined(pts: DataFrame, keys: list[str], x: str, y: str, span: float, ce
         *[moment(k).alias(f"_s{k}") for k in range(5)],
         *[moment(k, F.col(y)).alias(f"_t{k}") for k in range(3)],
     )
-    value, slope = _solve([F.col(f"_s{k}") for k in range(5)], [F.col(f"_t{k}") for k in range(3)])
-    enough = F.col("_k") >= 3
+    solved = _with_solution(sums, [F.col(f"_s{k}") for k in range(5)], [F.col(f"_t{k}") for k in range(3)], F.col("_k"))
     fits = (
-        sums.select(*keys, F.struct(
-            F.col("_v").alias("v"), F.when(enough, value).alias("f"),
-            F.when(enough, slope / F.col("_h")).alias("d")).alias("_fit"))
+        solved.select(*keys, F.struct(
+            F.col("_v").alias("v"), F.col("_value").alias("f"), (F.col("_slope") / F.col("_h")).alias("d")).alias("_fit"))
         .groupBy(*keys).agg(F.array_sort(F.collect_list("_fit")).alias("_fits"))  # one per border
     )
     return _blend(attach(pts.select(*keys, x, y), fits, keys), x)
@@ -218,10 +250,11 @@ def _fit_joined(pts: DataFrame, keys: list[str], x: str, y: str, span: float, ce
 def crossing(curve: DataFrame, keys: list[str], x: str, fitted: str, level: float, out: str = "TH") -> DataFrame:
     """Per curve, the ``x`` at which the fitted values, taken in rising order, pass ``level``.
 
-    ``x`` is averaged over equal fitted values; NULL when the level is outside the
+    ``x`` is averaged over fitted values that are equal to nine decimals (symmetric curves
+    have such, and the last bits of a sum depend on its order); NULL when the level is outside the
     fitted range or part of the curve could not be fitted.
     """
-    steps = curve.groupBy(*keys, fitted).agg(F.avg(x).alias("_x"))
+    steps = curve.withColumn(fitted, F.round(fitted, 9)).groupBy(*keys, fitted).agg(F.avg(x).alias("_x"))
     point = F.struct(F.col(fitted).alias("f"), F.col("_x").alias("x"))
     ends = steps.groupBy(*keys).agg(
         F.max(F.when(F.col(fitted) <= level, point)).alias("_a"),

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from earshot.functions.normal import normal_upper, with_probit
 from earshot.functions.tails import chi2_p
-from earshot.operators.joins import attach
+from earshot.operators.joins import attach, group_of
 from earshot.operators.ranks import cumulative, histogram
 from earshot.session import cut_lineage
 
+SLOT_VALUES, MOST_SLOTS = 1_000_000, 256  # of adjusted p values: distinct ones of a slot, and slots of a family
+
 
 def _group_ranks(
     df: DataFrame, keys: list[str], value: str, group: str, width: float | None,
@@ -71,19 +73,35 @@ def ranksum(
     )
 
 
-def adjust_bh(df: DataFrame, p: str, family: list[str] = (), out: str = "BH") -> DataFrame:
+def adjust_bh(df: DataFrame, p: str, family: list[str] = (), out: str = "BH", slot_values: int = SLOT_VALUES) -> DataFrame:
     """Benjamini-Hochberg adjusted p within a family of tests; NULL p stays out.
 
-    The rows are finished tests, a few per family.
+    Distinct values of a family are counted and cut into slots of about ``slot_values`` along
+    their order. Ranks are counts within a slot and totals of the slots before it, minima from
+    above those within a slot and of the slots after it. So no window holds more than a slot
+    of one family, or its slots.
     """
-    by = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
-    at_or_below = by.orderBy(F.col(p).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    from_top = by.orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        df.withColumn("_scaled", F.col(p) * F.count(p).over(by) / F.count(p).over(at_or_below))
-        .withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_scaled").over(from_top))))
-        .drop("_scaled")
-    )
+    match = group_of(list(family))
+    counts = df.where(F.col(p).isNotNull()).groupBy(match.alias("_family"), F.col(p).alias("_p")).agg(F.count("*").alias("_t"))
+    slots = min(MOST_SLOTS, -(-counts.count() // slot_values))
+    borders = []
+    if slots > 1:  # a sketch of bounded size
+        borders = counts.agg(F.percentile_approx("_p", [i / slots for i in range(1, slots)], 10 * slots)).first()[0]
+    slot = F.size(F.filter(F.array(*map(F.lit, sorted(set(borders)))), lambda b: b <= F.col("_p"))) if borders else F.lit(0)
+    placed = counts.withColumn("_slot", slot)
+    own = Window.partitionBy("_family", "_slot").orderBy("_p")
+    over = Window.partitionBy("_family").orderBy("_slot")
+    sums = placed.groupBy("_family", "_slot").agg(F.sum("_t").alias("_n")).withColumns({
+        "_before": F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_all": F.sum("_n").over(Window.partitionBy("_family")),
+    }).drop("_n")
+    rank = F.col("_before") + F.sum("_t").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    scaled = placed.join(sums, ["_family", "_slot"]).withColumn("_scaled", F.col("_p") * F.col("_all") / rank)
+    above = scaled.groupBy("_family", "_slot").agg(F.min("_scaled").alias("_least")).withColumn(
+        "_after", F.min("_least").over(over.rowsBetween(1, Window.unboundedFollowing))).drop("_least")
+    best = F.least(F.lit(1.0), F.min("_scaled").over(own.rowsBetween(0, Window.unboundedFollowing)), F.col("_after"))
+    found = scaled.join(above, ["_family", "_slot"]).select(F.struct("_family", "_p").alias("_match"), best.alias(out))
+    return df.withColumn("_match", F.struct(match.alias("_family"), F.col(p).alias("_p"))).join(found, "_match", "left").drop("_match")
 
 
 # --- fixed values: Royston (1995), algorithm AS R94, constant term first ---
@@ -96,6 +114,7 @@ LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_SD = [-0.4803, -0.082676, 0.0030302]
 # ----------------------------------------------------------------------------
 FEWEST = 3
+SLICE = 10_000  # ranks of one value that are written out together
 
 
 def _poly(coefs: list[float], x: Column) -> Column:
@@ -110,13 +129,16 @@ def shapiro(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
 
     The published polynomials were fitted for up to 5000 values; above, p extrapolates them
     and W is exact. Ranks come from counts of distinct values, so that no group is sorted in
-    one task; values that occur often give their ranks by their count.
+    one task; values that occur often give their ranks by their count, in slices of ``SLICE``
+    that are dealt to tasks.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
     ranks = cumulative(cut_lineage(histogram(rows, keys, value)), keys, value)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    each = ranks.where(F.col("total") >= FEWEST).withColumn("_i", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("t"))))
+    each = ranks.where(F.col("total") >= FEWEST).withColumn("_i", F.explode(
+        F.sequence(F.col("before") + 1, F.col("before") + F.col("t"), F.lit(SLICE).cast("long")))).repartition(*keys, value, "_i")
+    each = each.withColumn("_i", F.explode(F.sequence(F.col("_i"), F.least(F.col("_i") + (SLICE - 1), F.col("before") + F.col("t")))))
     each = each.withColumnRenamed("total", "n").drop("before", "t")
     ranked = with_probit(each, {"_m": (F.col("_i") - 0.375) / (F.col("n") + 0.25)})
     i, n, x, m = F.col("_i"), F.col("n"), F.col(value), F.col("_m")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import labels, names
 from earshot.operators.joins import attach
-from earshot.params import EXCLUDED_PHASES
+from earshot.params import DISCRIMINATION_PHASES, EXCLUDED_PHASES
 
 
 def parse_names(log: DataFrame) -> DataFrame:
@@ -39,6 +39,11 @@ def drop_phases(log: DataFrame, phases: list[str] = EXCLUDED_PHASES) -> DataFram
     return log.where(F.col("Phase").isNotNull() & ~F.col("Phase").isin(phases))
 
 
+def drop_phases_older(log: DataFrame) -> DataFrame:
+    """The older rule, which keeps discrimination phases and training on noise."""
+    return drop_phases(log, [p for p in EXCLUDED_PHASES if p not in DISCRIMINATION_PHASES])
+
+
 def drop_subjects(df: DataFrame, subjects, column: str = "ID") -> DataFrame:
     """Leave subjects out: a short list, or a DataFrame holding their IDs."""
     if isinstance(subjects, DataFrame):

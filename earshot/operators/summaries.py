@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.functions.labels import known
 from earshot.operators.joins import attach, group_of
 from earshot.operators.ranks import cumulative, histogram, is_small, quantile_from
+from earshot.operators.reshape import long, wide
 from earshot.session import cut_lineage
 
 
@@ -20,11 +22,38 @@ def distinct_count(value: str) -> Column:
     return F.count_distinct(F.col(value)) + F.max(F.when(F.col(value).isNull(), 1).otherwise(0))
 
 
+def distinct_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """One row per group and distinct value, NULL written NA."""
+    return df.select(*by, F.coalesce(F.col(value).cast("string"), F.lit("NA")).alias(value)).distinct()
+
+
 def distinct_text(value: str) -> Column:
-    """Distinct values as sorted text, NULL written NA."""
+    """Distinct values as sorted text, NULL written NA; for groups of few values (``distinct_values`` for any)."""
     return F.array_join(F.array_sort(F.collect_set(F.coalesce(F.col(value), F.lit("NA")))), ", ")
 
 
+TH_COLUMNS = ["BBN_TH", "4_TH", "8_TH", "16_TH", "32_TH"]
+LOGGED_KEYS = ["ID", "Condition", "BG_Type", "BG_Intensity", "Duration"]
+
+
+def logged_thresholds(sessions: DataFrame, keys: list[str] = LOGGED_KEYS, columns: list[str] = TH_COLUMNS) -> DataFrame:
+    """The logged threshold columns described per subject and setting, whole numbers, one row per type.
+
+    All columns are described in one pass over their long form. Types without a value have no
+    row, nor has noise (BBN) in a background of 30 or 50 dB.
+    """
+    listed = long(sessions.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), keys, columns, "Type", "TH")
+    listed = listed.withColumn("Type", F.regexp_replace("Type", "_TH$", "")).where(
+        ~known((F.col("Type") == "BBN") & F.col("BG_Intensity").isin("30", "50")))
+    found = describe(listed.where(F.col("TH").isNotNull()), [*keys, "Type"], "TH")
+    return found.select(*keys, "Type", "n", *[F.bround(c, 0).alias(c) for c in ("mean", "median", "min", "max")])
+
+
+def logged_thresholds_wide(sessions: DataFrame, keys: list[str] = LOGGED_KEYS, columns: list[str] = TH_COLUMNS) -> DataFrame:
+    """Mean logged thresholds with one column per type."""
+    return wide(logged_thresholds(sessions, keys, columns), keys, "Type", "mean", [c.removesuffix("_TH") for c in columns])
+
+
 def standard_error(value: str) -> Column:
     """Sample standard deviation over the root of the count; NULL below two values."""
     return F.sqrt(F.var_samp(value) / F.count(value))

@@ -24,8 +24,9 @@ EXCLUDED_PHASES = [
     "Tone discrimination", "Discrimination",
     "Post ABR", "Post ABR, post-HL", "Post ABR, post-HL2",
 ]
-# The older rule set keeps the discrimination phases and names one post-ABR phase.
+# The older rule set keeps these.
 DISCRIMINATION_PHASES = [
+    "BBN Training",
     "Discrimination training", "Tone discrimination training",
     "Tone discrimination", "Discrimination",
 ]

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from earshot.functions import labels, names
-from earshot.operators import sessions as ops
+from earshot.operators import sessions as ops, summaries
 from earshot.operators.reshape import long
 from earshot.operators.summaries import box, log_summary
-from earshot.params import BACKGROUNDS, CONDITIONS, EXCLUDED_PHASES, Params
+from earshot.params import BACKGROUNDS, CONDITIONS, DISCRIMINATION_PHASES, EXCLUDED_PHASES, NOISE_TITLES, Params
 from earshot.plans.registry import query
 from earshot.plans.sql import BACKGROUND, box as box_sql, level_case, statement
 from earshot.sources import stand_ins as src
@@ -39,6 +39,50 @@ def phase_filter(spark, sf):
     return ops.drop_phases(src.session_log(spark, sf)).select("ID", "Date", "Phase")
 
 
+@query("phase_filter_older", statement(
+    f"SELECT ID, Date, Phase FROM raw_log WHERE Phase IS NOT NULL AND Phase NOT IN ({', '.join(repr(p) for p in EXCLUDED_PHASES if p not in DISCRIMINATION_PHASES)})",
+    dates=["Date"]))
+def phase_filter_older(spark, sf):
+    """Sessions by the older rule, which keeps discrimination phases and training on noise."""
+    return ops.drop_phases_older(src.session_log(spark, sf)).select("ID", "Date", "Phase")
+
+
+@query("noise_titles", statement(
+    f"""SELECT BG_Type, CASE {' '.join(f"WHEN BG_Type = '{k}' THEN '{v}'" for k, v in NOISE_TITLES.items())} END AS title,
+      count(*) AS sessions FROM sessions GROUP BY ALL"""))
+def noise_titles(spark, sf):
+    """Titles of the background noises sessions were run in."""
+    return sessions(spark, sf).groupBy("BG_Type").agg(F.count("*").alias("sessions")).withColumn("title", labels.noise_title(F.col("BG_Type")))
+
+
+_LOGGED = """(SELECT ID, Condition, BG_Type, BG_Intensity, Duration, Type, count(*) AS n, round_even(avg(TH), 0) AS mean,
+   round_even(quantile_cont(TH, 0.5), 0) AS median, min(TH) AS min, max(TH) AS max FROM
+  (SELECT ID, Condition, BG_Type, BG_Intensity, Duration, unnest(['BBN', '4', '8', '16', '32']) AS Type,
+    unnest([BBN_TH::DOUBLE, "4_TH", "8_TH", "16_TH", "32_TH"]) AS TH FROM sessions)
+  WHERE TH IS NOT NULL AND NOT coalesce(Type = 'BBN' AND BG_Intensity IN ('30', '50'), false) GROUP BY ALL)"""
+
+
+@query("logged_thresholds", statement(f"SELECT * FROM {_LOGGED}", ["mean", "median", "min", "max"]))
+def logged_thresholds(spark, sf):
+    """Logged thresholds described per subject, setting and type."""
+    return summaries.logged_thresholds(sessions(spark, sf))
+
+
+@query("logged_thresholds_wide", statement(
+    "SELECT ID, Condition, BG_Type, BG_Intensity, Duration, "
+    + ", ".join(f"""avg(mean) FILTER (Type = '{t}') AS "{t}" """ for t in ("BBN", "4", "8", "16", "32")) + f" FROM {_LOGGED} GROUP BY ALL",
+    ["BBN", "4", "8", "16", "32"]))
+def logged_thresholds_wide(spark, sf):
+    """Mean logged thresholds, one column per type."""
+    return summaries.logged_thresholds_wide(sessions(spark, sf))
+
+
+@query("session_subjects", statement("SELECT DISTINCT Condition, coalesce(ID, 'NA') AS ID FROM sessions"))
+def session_subjects(spark, sf):
+    """Subjects of each condition, one row each."""
+    return summaries.distinct_values(sessions(spark, sf), ["Condition"], "ID")
+
+
 @query("filename_parse", statement(
     "SELECT ID, Date, File, Frequency, Intensity, Duration, BG_Type, BG_Intensity FROM parsed_log", dates=["Date"]))
 def filename_parse(spark, sf):

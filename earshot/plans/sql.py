@@ -246,10 +246,19 @@ SELECT {K}, (a.x + b.x) / 2 AS v FROM (SELECT DISTINCT {K}, l FROM curve_cells W
 UNION ALL
 SELECT {K}, unnest([lo - w, hi + w]) AS v FROM (SELECT {K}, min(x) AS lo, max(x) AS hi,
   0.005 * greatest(max(x) - min(x), greatest(abs(min(x)), abs(max(x))) * 1e-3 + 1e-30) AS w FROM curve_points GROUP BY ALL)"""
+# of one or two points: the least-norm quadratic through them, by the pseudo-inverse of the scaled normal matrix
 CTES["curve_fits"] = f"""
 SELECT {K}, v,
-  CASE WHEN kk >= 3 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / nullif(det, 0) END AS f,
-  CASE WHEN kk >= 3 THEN (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - t1 * s2)) / nullif(det, 0) / h END AS d
+  CASE WHEN kk >= 3 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / nullif(det, 0)
+    ELSE i0 * CASE WHEN e2 > 1e-12 THEN ((e1 * e1 - e2) * g0 - e1 * (n00 * g0 + n01 * g1 + n02 * g2)) / (e2 * e2) ELSE g0 / (e1 * e1) END END AS f,
+  CASE WHEN kk >= 3 THEN (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - t1 * s2)) / nullif(det, 0) / h
+    ELSE i1 * CASE WHEN e2 > 1e-12 THEN ((e1 * e1 - e2) * g1 - e1 * (n01 * g0 + n11 * g1 + n12 * g2)) / (e2 * e2) ELSE g1 / (e1 * e1) END / h END AS d
+FROM (SELECT *, n00 * r0 + n01 * r1 + n02 * r2 AS g0, n01 * r0 + n11 * r1 + n12 * r2 AS g1, n02 * r0 + n12 * r1 + n22 * r2 AS g2,
+   n00 + n11 + n22 AS e1, n00 * n11 - n01 * n01 + n00 * n22 - n02 * n02 + n11 * n22 - n12 * n12 AS e2
+FROM (SELECT *, s0 * i0 * i0 AS n00, s1 * i0 * i1 AS n01, s2 * i0 * i2 AS n02, s2 * i1 * i1 AS n11, s3 * i1 * i2 AS n12, s4 * i2 * i2 AS n22,
+   t0 * i0 AS r0, t1 * i1 AS r1, t2 * i2 AS r2
+FROM (SELECT *, CASE WHEN s0 > 0 THEN 1 / sqrt(s0) ELSE 0 END AS i0, CASE WHEN s2 > 0 THEN 1 / sqrt(s2) ELSE 0 END AS i1,
+   CASE WHEN s4 > 0 THEN 1 / sqrt(s4) ELSE 0 END AS i2
 FROM (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM
  (SELECT {K}, v, any_value(h) AS h, count(*) AS kk, sum(w) AS s0, sum(w * z) AS s1, sum(w * z ** 2) AS s2, sum(w * z ** 3) AS s3,
     sum(w * z ** 4) AS s4, sum(w * y) AS t0, sum(w * z * y) AS t1, sum(w * z ** 2 * y) AS t2
@@ -257,7 +266,7 @@ FROM (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 *
     (SELECT {K}, v, x, y, max(CASE WHEN place = q THEN dist END) OVER (PARTITION BY {K}, v) AS h FROM
       (SELECT {K}, v, x, y, q, abs(x - v) AS dist, row_number() OVER (PARTITION BY {K}, v ORDER BY abs(x - v)) AS place
        FROM curve_points JOIN curve_borders USING ({K})))
-    WHERE abs(x - v) < h) GROUP BY {K}, v))"""
+    WHERE (x - v) ** 2 < 0.999 * h ** 2) GROUP BY {K}, v)))))"""
 CTES["curve_pieces"] = f"""
 SELECT *, lead(v) OVER w AS v2, lead(f) OVER w AS f2, lead(d) OVER w AS d2 FROM
  (SELECT {K}, v, f, d FROM curve_borders LEFT JOIN curve_fits USING ({K}, v)) WINDOW w AS (PARTITION BY {K} ORDER BY v)"""
@@ -268,7 +277,7 @@ CTES["thresholds"] = f"""
 SELECT {K}, CASE WHEN any_value(whole) THEN CASE WHEN max(a) = max(b) THEN avg(x) FILTER (fitted = a)
   ELSE avg(x) FILTER (fitted = a) + (1.5 - max(a)) / (max(b) - max(a)) * (avg(x) FILTER (fitted = b) - avg(x) FILTER (fitted = a)) END END AS TH
 FROM (SELECT *, max(fitted) FILTER (fitted <= 1.5) OVER w AS a, min(fitted) FILTER (fitted >= 1.5) OVER w AS b,
-   count(fitted) OVER w = count(*) OVER w AS whole FROM curve_fitted WINDOW w AS (PARTITION BY {K})) GROUP BY {K}"""
+   count(fitted) OVER w = count(*) OVER w AS whole FROM (SELECT * REPLACE (round(fitted, 9) AS fitted) FROM curve_fitted) WINDOW w AS (PARTITION BY {K})) GROUP BY {K}"""
 TH = "ID, Sex, Condition, BG_Type, BG_Intensity, Dur"
 
 

@@ -71,9 +71,14 @@ def brute_local_fit(xs, ys, span=0.75, cell=0.2, margin=0.005):
     for v in borders:
         h = np.sort(np.abs(xs - v))[q - 1]
         weight = np.clip(1 - (np.abs(xs - v) / h) ** 3, 0, None) ** 3
-        keep = weight > 0
+        keep = (xs - v) ** 2 < 0.999 * h ** 2
         design = np.vander(xs[keep] - v, 3, increasing=True) * np.sqrt(weight[keep])[:, None]
-        beta = np.linalg.lstsq(design, ys[keep] * np.sqrt(weight[keep]), rcond=None)[0]
+        if keep.sum() < 3:  # least norm of the scaled columns
+            length = np.sqrt((design ** 2).sum(axis=0))
+            length[length == 0] = 1
+            beta = np.linalg.pinv(design / length, rcond=1e-9) @ (ys[keep] * np.sqrt(weight[keep])) / length
+        else:
+            beta = np.linalg.lstsq(design, ys[keep] * np.sqrt(weight[keep]), rcond=None)[0]
         value.append(beta[0]), slope.append(beta[1])
     out = []
     for x in xs:
@@ -85,10 +90,10 @@ def brute_local_fit(xs, ys, span=0.75, cell=0.2, margin=0.005):
     return np.array(out)
 
 
-@pytest.mark.parametrize("longest", [500, 8])
+@pytest.mark.parametrize("longest", [500, 8, 2])
 def test_local_fit_rows_and_joins_agree_with_dense_fit(spark, longest):
     rng = np.random.default_rng(0)
-    shapes = {"ten": 10, "seventeen": 17, "forty": 40}
+    shapes = {"four": 4, "five": 5, "ten": 10, "seventeen": 17, "forty": 40}
     data = {k: (np.sort(rng.choice(200, n, replace=False)).astype(float), rng.normal(size=n).cumsum()) for k, n in shapes.items()}
     got = curves.local_fit(curve_table(spark, data), ["k"], "x", "y", longest=longest).toPandas()
     for k, (xs, ys) in data.items():
@@ -98,14 +103,14 @@ def test_local_fit_rows_and_joins_agree_with_dense_fit(spark, longest):
 
 def test_local_fit_keeps_a_line_and_needs_points(spark):
     xs = np.arange(0, 100, 10.0)
-    data = {"line": (xs, 0.05 * xs - 1), "short": (xs[:5], xs[:5])}
+    data = {"line": (xs, 0.05 * xs - 1), "short": (xs[:2], xs[:2]), "five": (xs[:5], 0.05 * xs[:5])}
     fit = curves.local_fit(curve_table(spark, data), ["k"], "x", "y")
     got = fit.toPandas()
     line = got[got.k == "line"]
     assert line.fitted.to_numpy() == pytest.approx(line.y.to_numpy(), abs=1e-9)
     assert got[got.k == "short"].fitted.isna().all()
     th = {r.k: r.TH for r in curves.crossing(fit, ["k"], "x", "fitted", 1.5).collect()}
-    assert th["line"] == pytest.approx(50.0) and th["short"] is None
+    assert th["line"] == pytest.approx(50.0) and th["short"] is None and th["five"] is not None
 
 
 def test_crossing_rules(spark):

@@ -146,6 +146,32 @@ def test_bh(spark):
     assert all(got[i] >= ps[i] for i in got)
 
 
+def test_bh_in_slots_equals_one_window(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(f), None if u < 0.02 else float(round(p, 3))) for i, (f, p, u) in enumerate(zip(
+        rng.integers(0, 3, 900), rng.beta(0.4, 2, 900), rng.random(900)))]
+    df = spark.createDataFrame(rows, "i int, f int, p double")
+    whole = {r.i: r.BH for r in ranktests.adjust_bh(df, "p", ["f"]).collect()}
+    cut = ranktests.adjust_bh(df, "p", ["f"], slot_values=40)
+    assert {r.i: r.BH for r in cut.collect()} == pytest.approx(whole)
+    for f in range(3):
+        own = sorted((p, i) for i, g, p in rows if g == f and p is not None)
+        least = 1.0
+        for rank in range(len(own), 0, -1):
+            p, i = own[rank - 1]
+            least = min(least, p * len(own) / rank)
+            assert whole[i] == pytest.approx(least)
+    assert all((whole[i] is None) == (p is None) for i, _, p in rows)
+
+
+def test_shapiro_of_sliced_ties(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(float(v),) for v in np.append(rng.integers(0, 30, 200), np.full(150, 12))], "y double")
+    plain = tuple(ranktests.shapiro(df, "y").first())
+    monkeypatch.setattr(ranktests, "SLICE", 7)
+    assert tuple(ranktests.shapiro(df, "y").first()) == pytest.approx(plain)
+
+
 def test_shapiro(spark):
     # Values with published W = 0.79 and p about 0.0067 (Royston's example of men's weights).
     weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
