@@ -16,7 +16,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Two prime moduli below 2**31 with a base each: products of residues stay below 2**64.
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_013)
-_residues = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in PRIMES]
+_residues = [[np.ones(1, np.uint32), np.ones(1, np.uint32)] for _ in PRIMES]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +33,8 @@ def residues(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     for k, step in enumerate((base, pow(base, -1, prime))):
         known = _residues[which][k]
         while len(known) < n:
-            known = np.concatenate([known, known * np.uint64(pow(step, len(known), prime)) % np.uint64(prime)])
+            more = known[:n - len(known)] * np.uint64(pow(step, len(known), prime)) % np.uint64(prime)
+            known = np.concatenate([known, more.astype(np.uint32)])
         _residues[which][k] = known
     return _residues[which][0][:n], _residues[which][1][:n]
 
@@ -68,7 +69,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """UTF-8 of consecutive texts, ``most`` bytes or one text at a time, with the number of the first."""
     first, held, total = 0, [], 0
     for i, text in enumerate(texts):
