@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.functions.labels import stars
-from earshot.operators.gaussian import gaussianize
+from earshot.operators.gaussian import fit_heavy_tail, gaussianize
 from earshot.operators.linear import anova, coefficients, crossed, residuals, tukey
 from earshot.operators.ranktests import kruskal, shapiro
 from earshot.params import ABR_CONDITIONS, BACKGROUNDS, CONDITIONS
@@ -181,17 +181,24 @@ DURATION_TERMS = crossed("Intensity", "Dur")
 DURATION_LEVELS = {"Dur": ["50", "100", "300"]}
 
 
+CTES["duration_alone_rows"] = f"""
+SELECT Inten AS Intensity, CAST(CAST(Dur AS INTEGER) AS VARCHAR) AS Dur, Rxn FROM duration_rows WHERE Inten >= 30 AND Inten <= 80
+  AND Inten NOT IN (25, 35, 45) AND ID IN ({hearing._FOUR}) AND Duration = 'Alone'"""
+q.heavy_tail("duration_drawn", "duration_alone_rows", "Rxn")
+orthogonal("model_duration", "duration_drawn", "Rxn", DURATION_TERMS, DURATION_LEVELS)
+
+
 def _duration(spark, sf):
     return hearing.duration_anova_input(spark, sf).withColumn("Dur", F.col("Dur").cast("int").cast("string"))
 
 
-@query("anova_duration")
+@query("anova_duration", statement(q.anova("model_duration"), FIT, digits=4), digits=4)
 def anova_duration(spark, sf):
     """Gaussianised reaction time to noise by level and duration."""
     return anova(gaussianize(_duration(spark, sf), "Rxn"), "Rxn", DURATION_TERMS, DURATION_LEVELS)
 
 
-@query("shapiro_duration")
+@query("shapiro_duration", statement(q.shapiro("model_duration_done", "y"), ["W", "p"]))
 def shapiro_duration(spark, sf):
     """Are what that model leaves normal?"""
     rows = cut_lineage(gaussianize(_duration(spark, sf), "Rxn"))
@@ -217,29 +224,25 @@ def _abr_cells(spark, sf, measure: str):
     return gaussianize(rows, measure)
 
 
-def _amplitude(measure: str, plain: bool) -> None:
-    """Register the tests of one amplitude.
-
-    ``plain`` says that the stored values have no heavy tails, so that SQL, which
-    does not fit them, can be compared.
-    """
-    model = f"model_abr_{measure.lower()}"
-    orthogonal(model, "abr_cells", measure, ABR_TERMS, ABR_LEVELS)
-    compared = lambda text: text if plain else None
+def _amplitude(measure: str) -> None:
+    """Register the tests of one amplitude."""
+    model, drawn = f"model_abr_{measure.lower()}", f"abr_drawn_{measure.lower()}"
+    q.heavy_tail(drawn, "abr_cells", measure)
+    orthogonal(model, drawn, measure, ABR_TERMS, ABR_LEVELS)
 
-    @query(f"abr_anova_{measure.lower()}", compared(statement(q.anova(model), FIT, digits=5)), digits=5)
+    @query(f"abr_anova_{measure.lower()}", statement(q.anova(model), FIT, digits=5), digits=5)
     def table(spark, sf):
         return anova(_abr_cells(spark, sf, measure), measure, ABR_TERMS, ABR_LEVELS)
 
-    @query(f"abr_shapiro_{measure.lower()}", compared(statement(
-        f"SELECT *, p > 0.05 AS is_parametric FROM ({q.shapiro(f'{model}_done', 'y')})", ["W", "p"])))
+    @query(f"abr_shapiro_{measure.lower()}", statement(
+        f"SELECT *, p > 0.05 AS is_parametric FROM ({q.shapiro(f'{model}_done', 'y')})", ["W", "p"]))
     def normal(spark, sf):
         left = residuals(cut_lineage(_abr_cells(spark, sf, measure)), measure, ABR_TERMS, ABR_LEVELS)
         return shapiro(left, "residual").withColumn("is_parametric", F.col("p") > 0.05)
 
-    @query(f"abr_tukey_{measure.lower()}_condition", compared(statement(
+    @query(f"abr_tukey_{measure.lower()}_condition", statement(
         f"""SELECT term, contrast, estimate, CAST(round_even(p, 4) AS DOUBLE) AS p, {q.stars('round_even(p, 4)')} AS sig
-            FROM ({_tukey_sql(model, 'Condition', measure, ABR_CONDITIONS, True)})""", ["estimate", "p"])))
+            FROM ({_tukey_sql(model, 'Condition', measure, ABR_CONDITIONS, True)})""", ["estimate", "p"]))
     def differences(spark, sf):
         rows = _abr_cells(spark, sf, measure)
         return (
@@ -248,8 +251,8 @@ def _amplitude(measure: str, plain: bool) -> None:
         )
 
 
-_amplitude("RMS", plain=False)
-_amplitude("W1", plain=True)
+_amplitude("RMS")
+_amplitude("W1")
 
 
 @query("abr_tukey_w1_frequency")
@@ -290,9 +293,25 @@ def abr_tukey_threshold(spark, sf):
     )
 
 
+CTES["loudest_trials"] = "SELECT * FROM trials WHERE Inten = 90"
+q.heavy_tail("loudest_drawn", "loudest_trials", "RTime")
+
+
 @query("gaussianized_trial_values", statement(
-    "SELECT Condition, count(*) AS n FROM trials GROUP BY ALL"))
+    """SELECT Condition, count(u) AS n, avg(u) AS mean, var_samp(u) AS variance, avg(u ** 4) AS fourth, min(u) AS least, max(u) AS most,
+         any_value(mu) AS mu, any_value(sigma) AS sigma, any_value(delta) AS delta
+       FROM (SELECT Condition, (RTime - mu) / sigma AS u, mu, sigma, delta FROM loudest_drawn, loudest_drawn_at)
+       GROUP BY GROUPING SETS ((Condition), ())""",
+    ["mean", "variance", "fourth", "least", "most", "mu", "sigma", "delta"], digits=5), digits=5)
 def gaussianized_trial_values(spark, sf):
-    """Reaction times of all trials with heavy tails drawn in: counts per condition."""
-    rows = gaussianize(hearing.src.trials(spark, sf), "RTime", "u")
-    return rows.groupBy("Condition").agg(F.count("u").alias("n"))
+    """Reaction times at the loudest level as scores without heavy tails: their moments per condition and over all, and the fit."""
+    rows = hearing.src.trials(spark, sf).where(F.col("Inten") == 90)
+    tail = fit_heavy_tail(rows, "RTime")
+    u = F.col("u")
+    moments = [
+        F.count(u).alias("n"), F.mean(u).alias("mean"), F.var_samp(u).alias("variance"), F.mean(u * u * u * u).alias("fourth"),
+        F.min(u).alias("least"), F.max(u).alias("most"),
+    ]
+    fitted = [F.lit(v).alias(c) for c, v in (("mu", tail.mu), ("sigma", tail.sigma), ("delta", tail.delta))]
+    scored = rows.select("Condition", tail.score(F.col("RTime").cast("double")).alias("u"))
+    return scored.rollup("Condition").agg(*moments).select("*", *fitted)

@@ -435,6 +435,50 @@ SELECT position, term, df, sum_sq, mean_sq, f, {f_upper('f', 'df', 'rdf')} AS p
 UNION ALL SELECT {len(terms) + 1}, 'Residuals', rdf, rss, rss / rdf, NULL, NULL FROM ({rest})"""
 
 
+def heavy_tail(name: str, source: str, y: str) -> None:
+    """Add expressions that draw the heavy tails of ``y`` in: ``<name>`` is the source with y replaced.
+
+    ``<name>_at`` holds the parameters, found by plain Newton steps in a recursive
+    expression; it is empty where kurtosis does not exceed 3.
+    """
+    def score(z: str, delta: str) -> str:
+        x = f"({delta} * {z} * {z})"
+        steps = f"list_prepend(ln(1.0::DOUBLE + {x}), [0.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0])"
+        miss = f"(w * exp(w) - {x})"
+        halley = f"w - {miss} / (exp(w) * (w + 1.0) - (w + 2.0) * {miss} / (2.0 * w + 2.0))"
+        return f"sign({z}) * sqrt(list_reduce({steps}, lambda w, i: {halley}) / {delta})"
+
+    def det(a: list[list[str]]) -> str:
+        (b, c, d), (e, f, g), (h, i, j) = a
+        return f"({b} * ({f} * {j} - {g} * {i}) - {c} * ({e} * {j} - {g} * {h}) + {d} * ({e} * {i} - {f} * {h}))"
+
+    CTES[f"{name}_values"] = f'SELECT "{y}"::DOUBLE AS v, count(*) AS t FROM {source} WHERE isfinite("{y}"::DOUBLE) GROUP BY 1'
+    CTES[f"{name}_start"] = f"""
+SELECT n, mean, sd, greatest((sqrt(greatest(66 * k - 162, 0)) - 6) / 66, 0.01) AS delta FROM
+ (SELECT any_value(n) AS n, any_value(mean) AS mean, sqrt(sum(t * (v - mean) ** 2) / (any_value(n) - 1)) AS sd,
+    sum(t * (v - mean) ** 4) * any_value(n) / sum(t * (v - mean) ** 2) ** 2 AS k
+  FROM {name}_values, (SELECT sum(t) AS n, sum(t * v) / sum(t) AS mean FROM {name}_values)) WHERE k > 3"""
+    slopes = ["-bz / sigma", "-bz * z / sigma", "-(u ** 3) / 2 / (1 + delta * u * u)"]
+    sums = ", ".join([f"sum(t * u ** {k}) / any_value(n) AS e{k}" for k in (1, 2, 4)]
+                     + [f"sum(t * {k} * u ** {k - 1} * ({s})) / any_value(n) AS e{k}{j}" for k in (1, 2, 4) for j, s in enumerate(slopes)])
+    off = ["e1", "(e2 * n / (n - 1) - 1)", "(e4 / e2 ** 2 - 3)"]
+    grid = [[f"e1{j}" for j in range(3)], [f"(e2{j} * n / (n - 1))" for j in range(3)],
+            [f"(e4{j} / e2 ** 2 - 2 * e4 / e2 ** 3 * e2{j})" for j in range(3)]]
+    moves = [f"{det([[off[i] if k == j else grid[i][k] for k in range(3)] for i in range(3)])} / {det(grid)}" for j in range(3)]
+    CTES[f"{name}_steps"] = f"""
+SELECT 0 AS i, n, mean AS mu, sd * (1 - 2 * least(delta, 0.4)) ** 0.75 AS sigma, delta FROM {name}_start
+UNION ALL SELECT i + 1, n, mu - m0, greatest(sigma - m1, sigma / 5), greatest(delta - m2, delta / 5) FROM
+ (SELECT i, n, mu, sigma, delta, {', '.join(f'{m} AS m{j}' for j, m in enumerate(moves))} FROM
+  (SELECT i, any_value(n) AS n, any_value(mu) AS mu, any_value(sigma) AS sigma, any_value(delta) AS delta, {sums} FROM
+   (SELECT *, exp(-u * u * delta / 2) / (1 + delta * u * u) AS bz FROM
+    (SELECT *, {score('z', 'delta')} AS u FROM (SELECT *, (v - mu) / sigma AS z FROM {name}_steps, {name}_values WHERE i < 15))) GROUP BY i))"""
+    CTES[f"{name}_at"] = f"SELECT n, mu, sigma, delta FROM {name}_steps WHERE i = 15"
+    CTES[name] = f"""
+SELECT * EXCLUDE (_mu, _sigma, _delta) REPLACE (CASE WHEN _delta IS NULL OR NOT isfinite("{y}"::DOUBLE) THEN "{y}"
+  ELSE {score(f'(("{y}" - _mu) / _sigma)', '_delta')} * _sigma + _mu END AS "{y}")
+FROM {source} LEFT JOIN (SELECT mu AS _mu, sigma AS _sigma, delta AS _delta FROM {name}_at) ON true"""
+
+
 def shapiro(source: str, value: str) -> str:
     """W and p of one sample of more than 11 values."""
     from earshot.operators import ranktests as r

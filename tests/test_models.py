@@ -209,3 +209,26 @@ def test_heavy_tails_are_drawn_in(spark):
     assert np.sort(tail.mu + tail.sigma * score * np.exp(tail.delta / 2 * score**2)) == pytest.approx(np.sort(y))
     even = spark.createDataFrame(pd.DataFrame({"y": rng.uniform(size=500)}))
     assert gaussian.fit_heavy_tail(even, "y").delta == 0.0
+
+
+def test_cutting_the_interval_finds_what_newton_finds(spark):
+    rng = np.random.default_rng(7)
+    u = rng.normal(size=800)
+    df = spark.createDataFrame(pd.DataFrame({"y": 1 + 3 * u * np.exp(0.15 * u * u)}))
+    newton = gaussian.fit_heavy_tail(df, "y")
+    assert newton.converged
+    y = df.toPandas().y
+    cut = gaussian._cut(gaussian.histogram(df, [], "y"), "y", len(y), y.mean(), y.std())
+    assert cut.converged and (cut.mu, cut.sigma, cut.delta) == pytest.approx((newton.mu, newton.sigma, newton.delta), abs=1e-4)
+
+
+def test_tails_without_an_answer(spark):
+    # most values are one value: no tail weight brings kurtosis down to 3
+    df = spark.createDataFrame([(0.0,)] * 97 + [(1.0,), (-1.0,), (5.0,)] + [(None,), (float("inf"),), (float("nan"),)], "y double")
+    tail = gaussian.fit_heavy_tail(df, "y")
+    assert not tail.converged and tail.delta == gaussian.HEAVIEST and tail.sigma > 0
+    rows = gaussian.gaussianize(df, "y", "x").toPandas()
+    assert rows.x.iloc[0] == pytest.approx(rows.x.iloc[1]) and rows.x.iloc[98] < rows.x.iloc[0] < rows.x.iloc[97] < rows.x.iloc[99]
+    assert pd.isna(rows.x.iloc[100]) and rows.x.iloc[101] == float("inf") and pd.isna(rows.x.iloc[102])
+    none = gaussian.fit_heavy_tail(df.where("y > 9e9 and y < 9e8"), "y")
+    assert none == gaussian.HeavyTail(0.0, 1.0, 0.0)
