@@ -34,18 +34,20 @@ def log_beta(a: float, b: float) -> float:
 def beta_lower(x: float, a: float, b: float, rest: float | None = None) -> float:
     """Regularised incomplete beta function.
 
-    ``rest`` is 1 - x where that is known more exactly than x. The side with the smaller
-    argument is taken, in which nothing cancels, unless so little is left of 1 that the other
-    side knows more digits (it does as long as a and b are not in the millions).
+    ``rest`` is 1 - x where that is known more exactly than x. The fraction converges below the
+    mean of the distribution only, so beyond it the other side is taken, of which 1 then has
+    more left than can cancel.
     """
     rest = 1.0 - x if rest is None else rest
     if x <= 0.0:
         return 0.0
     if rest <= 0.0:
         return 1.0
-    if x > rest:
-        out = 1.0 - _beta_fraction(rest, b, a, x)
-        return max(out, 0.0) if out > 1e-6 or max(a, b) > 1e6 else _beta_fraction(x, a, b, rest)
+    # x > (a + 1) / (a + b + 2), without taking x from 1; a little below, it still converges,
+    # and keeps digits that the other side loses where a or b is in the millions
+    slack = 4.0 if max(a, b) > 1e6 and min(a, b) < 100.0 and x > rest else 1.0
+    if slack * (b + 1.0) * x > (a + 1.0) * rest:
+        return 1.0 - _beta_fraction(rest, b, a, x)
     return _beta_fraction(x, a, b, rest)
 
 

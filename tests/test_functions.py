@@ -58,6 +58,12 @@ def test_tails_against_integration():
 
 def test_studentized_range():
     # Published 5 % points of the studentized range.
+    for t in (0.5, 2.0, 5.0, 10.0, 20.0):  # far out too
+        assert tails.t_two_sided(t, 1e8) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-3)
+        assert tails.t_two_sided(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-9)
+        assert tails.t_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-9)
+    assert 0 < tails.t_two_sided(-10.1358, 200) < tails.t_two_sided(-10.1358, 100) < 1e-16
+    assert tails.f_upper(60 / 5, 5, 1e8) == pytest.approx(tails.chi2_upper(60, 5), rel=1e-3)
     assert tails.tukey_quantile(0.95, 3, 20) == pytest.approx(3.578, abs=2e-3)
     assert tails.tukey_quantile(0.95, 5, 10) == pytest.approx(4.654, abs=2e-3)
     assert tails.tukey_quantile(0.95, 2, 1e6) == pytest.approx(math.sqrt(2) * 1.959964, abs=1e-4)
