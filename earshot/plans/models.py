@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.labels import stars
 from earshot.operators.gaussian import fit_heavy_tail, gaussianize
-from earshot.operators.linear import anova, coefficients, crossed, residuals, tukey
+from earshot.operators.linear import Design, anova, coefficients, crossed, residuals, tukey
 from earshot.operators.ranktests import kruskal, shapiro
 from earshot.params import ABR_CONDITIONS, BACKGROUNDS, CONDITIONS
 from earshot.plans import abr, hearing
@@ -70,15 +70,23 @@ def kruskal_rxn_all_trials(spark, sf):
     return kruskal(rows, "RTime", "Phase", width=1.0)
 
 
-def _range_tail(q_value: str, k: str, df: str) -> str:
-    """P(studentized range > q) as a sum over a grid, as a subquery (trapezoid rule)."""
+def _spread(df: str) -> str:
+    return f"(1 + 10 / sqrt(2.0::DOUBLE * {df}) * (j - 100) / 100.0)"
+
+
+def _tail_sum(q_value: str, k: str, df: str) -> str:
+    """P(studentized range > q) as a sum over rows of a grid (i, j) (trapezoid rule)."""
     z = "(i / 20.0::DOUBLE)"
     phi = lambda x: f"(1 - ({q.normal_upper(x)}))"
-    s = f"(1 + 10 / sqrt(2.0::DOUBLE * {df}) * (j - 100) / 100.0)"
+    s = _spread(df)
     density = (f"exp(ln(2) + {df} / 2.0 * ln({df} / 2.0) - lgamma({df} / 2.0) + ({df} - 1) * ln({s}) - {df} / 2.0 * {s} * {s})")
     inner = f"exp(-{z} * {z} / 2) / sqrt(2 * pi()) * greatest({phi(z)} - {phi(f'({z} - {q_value} * {s})')}, 0) ** ({k} - 1) / 20.0"
-    return (f"(SELECT 1 - {k} * sum({density} * {inner}) * 10 / sqrt(2.0::DOUBLE * {df}) / 100.0 "
-            f"FROM range(-160, 161) a(i), range(0, 201) b(j) WHERE {s} > 0)")
+    return f"1 - {k} * sum({density} * {inner}) * 10 / sqrt(2.0::DOUBLE * {df}) / 100.0"
+
+
+def _range_tail(q_value: str, k: str, df: str) -> str:
+    """The same as a subquery."""
+    return f"(SELECT {_tail_sum(q_value, k, df)} FROM range(-160, 161) a(i), range(0, 201) b(j) WHERE {_spread(df)} > 0)"
 
 
 def _tukey_sql(model: str, factor: str, source: str, levels: list[str], ordered: bool) -> str:
@@ -95,6 +103,36 @@ FROM (SELECT "{factor}" AS level, {q.level_case(f'"{factor}"', levels)} AS place
 WHERE {before}"""
 
 
+def _tukey_intervals(model: str, factor: str, source: str, levels: list[str], ordered: bool) -> str:
+    """Differences of any term's level means with 95% intervals.
+
+    A level's mean is the grand mean and the part of the fit that the term's own columns add,
+    averaged over the level's rows; the quantile of the range comes from halving an interval.
+    """
+    owners, terms = q._MODELS[model]
+    own = [j for j, o in enumerate(owners) if o == terms.index((factor,))]
+    used = " + ".join(f"CASE WHEN any_value(ss{j}) IS NULL THEN 0 ELSE 1 END" for j in range(len(owners)))
+    name = f"{model}_{factor.lower()}"
+    CTES[f"{name}_left"] = f'SELECT sum(y * y) AS rss, count(*) - ({used}) AS rdf, count(DISTINCT "{factor}") AS k FROM {model}_done'
+    shares = ", ".join(f'CASE WHEN any_value(ss{j}) IS NOT NULL THEN sum("{source}" * x{j}) / sum(x{j} * x{j}) ELSE 0 END AS c{j}' for j in own)
+    CTES[f"{name}_means"] = f"""
+SELECT "{factor}" AS level, {q.level_case(f'"{factor}"', levels)} AS place, count(*) AS n,
+  any_value(g) + {' + '.join(f'any_value(c{j}) * avg(x{j})' for j in own)} AS m
+FROM {model}_done, (SELECT avg("{source}") AS g, {shares} FROM {model}_done) GROUP BY ALL"""
+    s = _spread("rdf")
+    CTES[f"{name}_halves"] = f"""
+SELECT 0 AS step, 0.0::DOUBLE AS low, 60.0::DOUBLE AS high, k, rdf FROM {name}_left
+UNION ALL SELECT step + 1, CASE WHEN tail > 0.05 THEN (low + high) / 2 ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE (low + high) / 2 END, k, rdf
+FROM (SELECT step, low, high, k, rdf, {_tail_sum('((low + high) / 2)', 'k', 'rdf')} AS tail
+      FROM {name}_halves, range(-160, 161) a(i), range(0, 201) b(j) WHERE step < 45 AND {s} > 0 GROUP BY step, low, high, k, rdf)"""
+    before = "a.m < b.m" if ordered else "a.place < b.place"
+    return f"""
+SELECT term, contrast, estimate, estimate - reach * se AS lower, estimate + reach * se AS upper, {_range_tail('(abs(estimate) / se)', 'k', 'rdf')} AS p
+FROM (SELECT '{factor}' AS term, b.level || '-' || a.level AS contrast, b.m - a.m AS estimate, sqrt(rss / rdf / 2 * (1.0 / a.n + 1.0 / b.n)) AS se,
+        k, rdf, (SELECT (low + high) / 2 FROM {name}_halves WHERE step = 45) AS reach
+      FROM {name}_means a, {name}_means b, {name}_left WHERE {before})"""
+
+
 @query("tukey_fa_condition", statement(
     _tukey_sql("model_fa", "Condition", "FA", CONDITIONS, False), ["estimate", "p"]), digits=6)
 def tukey_fa_condition(spark, sf):
@@ -102,7 +140,8 @@ def tukey_fa_condition(spark, sf):
     return tukey(hearing.hits_tone(spark, sf), "FA", RATE_TERMS, RATE_LEVELS, "Condition").drop("lower", "upper")
 
 
-@query("tukey_fa_background")
+@query("tukey_fa_background", statement(
+    _tukey_intervals("model_fa", "BG_Intensity", "FA", BACKGROUNDS, False), ["estimate", "lower", "upper", "p"], digits=4), digits=4)
 def tukey_fa_background(spark, sf):
     """Differences of false-alarm rate between backgrounds, with intervals."""
     return tukey(hearing.hits_tone(spark, sf), "FA", RATE_TERMS, RATE_LEVELS, "BG_Intensity")
@@ -137,7 +176,20 @@ def _model_rows(spark, sf, stim: str):
     return rows.where(F.col("Stim") == "BBN") if stim == "BBN" else rows.where(F.col("Stim") != "BBN")
 
 
-@query("rxn_model_by_subject")
+CTES["rxn_hits"] = """
+SELECT * FROM analysis WHERE Type = 1 AND Response = 'Hit' AND Condition IN ('Baseline', 'Post HHL')"""
+
+
+def _model_sql(name: str, stim: str, numbers: list[str]) -> str:
+    terms, levels = crossed("Condition", *numbers), {"Condition": BEFORE_AFTER}
+    design = Design(terms, levels)
+    names = [design.name(j).replace("ConditionPost", "Post") for j in range(len(design))]
+    return q.coefficients(name, f"(SELECT * FROM rxn_hits WHERE {stim}) t", "RTime", terms, levels, LM_KEYS, names)
+
+
+@query("rxn_model_by_subject", statement(
+    f"""{_model_sql('lm_noise', "Stim = 'BBN'", ['Inten'])} UNION ALL {_model_sql('lm_tone', "Stim <> 'BBN'", ['Inten', 'Freq'])}""",
+    ["Dur", "estimate", "std_error", "t", "p"], digits=4), digits=4)
 def rxn_model_by_subject(spark, sf):
     """Reaction time by condition and level (and frequency, for tones), one model per setting."""
     levels = {"Condition": BEFORE_AFTER}
@@ -205,7 +257,9 @@ def shapiro_duration(spark, sf):
     return shapiro(residuals(rows, "Rxn", DURATION_TERMS, DURATION_LEVELS), "residual")
 
 
-@query("tukey_duration")
+@query("tukey_duration", statement(
+    f"""SELECT *, {q.stars('p')} AS sig FROM ({_tukey_intervals('model_duration', 'Dur', 'Rxn', DURATION_LEVELS['Dur'], False)})""",
+    ["estimate", "lower", "upper", "p"], digits=4), digits=4)
 def tukey_duration(spark, sf):
     """Differences between durations, with stars."""
     rows = gaussianize(_duration(spark, sf), "Rxn")
@@ -255,7 +309,9 @@ _amplitude("RMS")
 _amplitude("W1")
 
 
-@query("abr_tukey_w1_frequency")
+@query("abr_tukey_w1_frequency", statement(
+    f"""SELECT *, {q.stars('p')} AS sig FROM ({_tukey_intervals('model_abr_w1', 'Freq', 'W1', FREQ_LEVELS, True)})""",
+    ["estimate", "lower", "upper", "p"], digits=4), digits=4)
 def abr_tukey_w1_frequency(spark, sf):
     """Wave-1 differences between frequencies, with intervals and stars."""
     rows = _abr_cells(spark, sf, "W1")

@@ -479,6 +479,46 @@ SELECT * EXCLUDE (_mu, _sigma, _delta) REPLACE (CASE WHEN _delta IS NULL OR NOT
 FROM {source} LEFT JOIN (SELECT mu AS _mu, sigma AS _sigma, delta AS _delta FROM {name}_at) ON true"""
 
 
+def coefficients(name: str, source: str, y: str, terms: list[tuple], levels: dict[str, list], keys: list[str], names: list[str]) -> str:
+    """Coefficients of one model per key, by making its design columns orthogonal within each key.
+
+    With Q = X T, the coefficients are T (Q'Q)^-1 Q'y; columns that earlier ones explain are left out.
+    """
+    xs = ["1.0::DOUBLE"]
+    for term in terms:
+        parts = [""]
+        for v in term:
+            steps = ([f"(CASE WHEN \"{v}\" = '{l}' THEN 1.0::DOUBLE ELSE 0 END)" for l in levels[v][1:]] if v in levels else [f'"{v}"'])
+            parts = [f"{p} * {s}" if p else s for s in steps for p in parts]
+        xs += parts
+    size, by = len(xs), ", ".join(keys)
+    known = " AND ".join(f'"{v}" IS NOT NULL' for v in [*dict.fromkeys(v for t in terms for v in t), y])
+    CTES[f"{name}_c0"] = (f'SELECT {by}, "{y}"::DOUBLE AS y, ' + ", ".join(f"{x} AS x{j}, {x} AS o{j}" for j, x in enumerate(xs))
+                         + f" FROM {source} WHERE {known}")
+    for k in range(size):
+        later = [f"x{j}" for j in range(k + 1, size)] + ["y"]
+        own = f"sum(x{k} * x{k}) OVER w"
+        kept = f"{own} > 1e-9 * sum(o{k} * o{k}) OVER w"
+        shares = ", ".join(f"CASE WHEN {kept} THEN sum({c} * x{k}) OVER w / {own} ELSE 0 END AS r{k}_{c}" for c in later)
+        swaps = ", ".join(f"{c} - r{k}_{c} * x{k} AS {c}" for c in later)
+        CTES[f"{name}_c{k + 1}"] = (f"SELECT * REPLACE ({swaps}) FROM (SELECT *, {shares}, CASE WHEN {kept} THEN {own} END AS d{k} "
+                                    f"FROM {name}_c{k} WINDOW w AS (PARTITION BY {by}))")
+    shared = [f"r{k}_{c}" for k in range(size) for c in [f"x{j}" for j in range(k + 1, size)] + ["y"]] + [f"d{k}" for k in range(size)]
+    solved = (f"SELECT {by}, sum(y * y) AS rss, count(*) AS n, " + ", ".join(f"any_value({c}) AS {c}" for c in shared)
+              + "".join(f", 1.0::DOUBLE AS t{k}_{k}" for k in range(size)) + f" FROM {name}_c{size} GROUP BY {by}")
+    for k in range(1, size):
+        column = ", ".join(f"-({' + '.join(f'r{i}_x{k} * t{j}_{i}' for i in range(j, k))}) AS t{j}_{k}" for j in range(k))
+        solved = f"SELECT *, {column} FROM ({solved})"
+    used = " + ".join(f"(d{k} IS NOT NULL)::INTEGER" for k in range(size))
+    CTES[f"{name}_solved"] = f"SELECT *, n - ({used}) AS rdf FROM ({solved})"
+    rows = " UNION ALL ".join(
+        f"SELECT {by}, {j} AS position, '{names[j]}' AS coefficient, {' + '.join(f't{j}_{k} * r{k}_y' for k in range(j, size))} AS estimate, "
+        f"CASE WHEN rdf > 0 THEN sqrt(rss / rdf * ({' + '.join(f'coalesce(t{j}_{k} ** 2 / d{k}, 0)' for k in range(j, size))})) END AS std_error, rdf "
+        f"FROM {name}_solved WHERE d{j} IS NOT NULL" for j in range(size))
+    return f"""
+SELECT * EXCLUDE (rdf), {f_upper('(t * t)', '1', 'rdf')} AS p FROM (SELECT *, estimate / nullif(std_error, 0) AS t FROM ({rows}))"""
+
+
 def shapiro(source: str, value: str) -> str:
     """W and p of one sample of more than 11 values."""
     from earshot.operators import ranktests as r
