@@ -93,7 +93,7 @@ def _tukey_sql(model: str, factor: str, source: str, levels: list[str], ordered:
     """Differences of raw level means; right where the factor is the model's first term."""
     owners, _ = q._MODELS[model]
     used = " + ".join(f"CASE WHEN any_value(ss{j}) IS NULL THEN 0 ELSE 1 END" for j in range(len(owners)))
-    before = "a.m < b.m" if ordered else "a.place < b.place"
+    before = "a.place <> b.place AND a.m < b.m" if ordered else "a.place < b.place"
     return f"""
 SELECT '{factor}' AS term, b.level || '-' || a.level AS contrast, b.m - a.m AS estimate,
   {_range_tail('(abs(b.m - a.m) / sqrt(rss / rdf / 2 * (1.0 / a.n + 1.0 / b.n)))', 'k', 'rdf')} AS p
@@ -125,7 +125,7 @@ SELECT 0 AS step, 0.0::DOUBLE AS low, 60.0::DOUBLE AS high, k, rdf FROM {name}_l
 UNION ALL SELECT step + 1, CASE WHEN tail > 0.05 THEN (low + high) / 2 ELSE low END, CASE WHEN tail > 0.05 THEN high ELSE (low + high) / 2 END, k, rdf
 FROM (SELECT step, low, high, k, rdf, {_tail_sum('((low + high) / 2)', 'k', 'rdf')} AS tail
       FROM {name}_halves, range(-160, 161) a(i), range(0, 201) b(j) WHERE step < 45 AND {s} > 0 GROUP BY step, low, high, k, rdf)"""
-    before = "a.m < b.m" if ordered else "a.place < b.place"
+    before = "a.place <> b.place AND a.m < b.m" if ordered else "a.place < b.place"
     return f"""
 SELECT term, contrast, estimate, estimate - reach * se AS lower, estimate + reach * se AS upper, {_range_tail('(abs(estimate) / se)', 'k', 'rdf')} AS p
 FROM (SELECT '{factor}' AS term, b.level || '-' || a.level AS contrast, b.m - a.m AS estimate, sqrt(rss / rdf / 2 * (1.0 / a.n + 1.0 / b.n)) AS se,
