@@ -34,13 +34,24 @@ def drop_first_block(
     place among the kept rows. Recordings under two blocks, and those of a stimulus
     without a block size, keep nothing.
     """
-    sized = trials.withColumn("_m", block_size(params.block_sizes))
     rows = trials.count()  # for stored trials a look at the file footers; bounds every group
     largest = rows if rows <= ONE_TASK else None
+    return kept_rows(numbered(trials, BLOCK_KEYS, order, slot, largest=largest), params)
+
+
+def kept_rows(trials: DataFrame, params: Params = Params()) -> DataFrame:
+    """:func:`drop_first_block` of trials that have their number ``row`` and the recording's ``total``.
+
+    A filter alone. Its first part compares stored columns with constants, so that a scan
+    of :mod:`earshot.sources.layer` can skip warm-up blocks by the files' statistics.
+    """
+    sized = trials.withColumn("_m", block_size(params.block_sizes))
     blocks = F.floor(F.col("total") / F.col("_m"))
+    later = F.lit(False)
+    for name, size in params.block_sizes.items():
+        later = later | ((F.col("Stim") == name) & (F.col("row") > size))
     return (
-        numbered(sized, BLOCK_KEYS, order, slot, largest=largest)
-        .where((F.col("row") > F.col("_m")) & (F.col("row") <= blocks * F.col("_m")))
+        sized.where(later).where(F.col("row") <= blocks * F.col("_m"))
         .withColumn("Blocks_trimmed", blocks - 1)
         .withColumn("block_row", F.col("row") - F.col("_m"))
         .drop("_m", "row", "total")

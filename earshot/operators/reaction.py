@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.labels import recode, stim_kind
@@ -15,9 +15,13 @@ NO_THRESHOLD = -99.0
 NO_GO_LEVEL = -100.0
 
 
+def is_go_hit() -> Column:
+    return (F.col("Type") == 1) & (F.col("Response") == "Hit") & (F.col("Inten") != NO_GO_LEVEL)
+
+
 def go_hits(trials: DataFrame) -> DataFrame:
     """Hits on go trials at a real level."""
-    return trials.where((F.col("Type") == 1) & (F.col("Response") == "Hit") & (F.col("Inten") != NO_GO_LEVEL))
+    return trials.where(is_go_hit())
 
 
 def _setting(match_background_type: bool) -> list[str]:

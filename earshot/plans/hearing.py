@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from earshot.operators import blocks, curves, reaction, sdt
@@ -13,8 +15,8 @@ from earshot.plans import sql as q
 from earshot.plans.registry import query
 from earshot.plans.sessions import sessions
 from earshot.plans.sql import statement
-from earshot.session import cut_lineage
-from earshot.sources import stand_ins as src
+from earshot.session import cut_lineage, shared_path
+from earshot.sources import layer, stand_ins as src
 
 PARAMS = Params(min_blocks=src.TEST_MIN_BLOCKS, block_sizes=src.TEST_BLOCK_SIZES)
 ORDER = ["ts", "event_id"]
@@ -41,8 +43,24 @@ def thresholds(spark, sf):
     return curves.thresholds(dprimes(spark, sf), PARAMS.th_cutoff)
 
 
+def stored_trials(spark, sf, days=(None, None)):
+    """Trials of ``days`` without excluded subjects, numbered, from a layer stored by this call."""
+    path = shared_path(spark)
+    trials = drop_subjects(src.trials(spark, sf), PARAMS.excluded_subjects)
+    layer.store(trials, path, ORDER, src.trial_slot())
+    return layer.read(spark, path, *days, schema=trials.schema)
+
+
+def stored_analysis(spark, sf):
+    """:func:`analysis` from a stored layer: trials are ordered once, however often the result is read."""
+    return blocks.kept_rows(stored_trials(spark, sf), PARAMS)
+
+
 def over_threshold(spark, sf):
-    return reaction.over_threshold(reaction.go_hits(analysis(spark, sf)), thresholds(spark, sf))
+    """Hits above threshold; the layer is scanned for thresholds and again for hits, the trials once."""
+    trials = stored_analysis(spark, sf)
+    th = curves.thresholds(sdt.dprime_table(trials), PARAMS.th_cutoff)
+    return reaction.over_threshold(reaction.go_hits(trials), th)
 
 
 def counted_over_threshold(spark, sf, extra=()):
@@ -53,10 +71,15 @@ def counted_over_threshold(spark, sf, extra=()):
 
 
 def times_over_threshold(spark, sf):
-    """Reaction times of hits above threshold with their counts; only go hits are counted by time."""
-    th = curves.thresholds(sdt.dprime_table(reaction.counted(analysis(spark, sf)), weight="n"), PARAMS.th_cutoff)
-    times = reaction.counted(reaction.go_hits(analysis(spark, sf)), extra=["RTime"])
-    return reaction.over_threshold(times, th)
+    """Reaction times of hits above threshold with their counts, from one pass over the trials.
+
+    Only go hits are counted by time, so other trials stay one row per setting and response.
+    """
+    trials = analysis(spark, sf)
+    timed = trials.withColumn("RTime", F.when(reaction.is_go_hit(), F.col("RTime")))
+    cells = cut_lineage(reaction.counted(timed, extra=["RTime"]))
+    th = curves.thresholds(sdt.dprime_table(cells, weight="n"), PARAMS.th_cutoff)
+    return reaction.over_threshold(reaction.go_hits(cells), th)
 
 
 def rxn_means(spark, sf):
@@ -75,6 +98,18 @@ def no_first_block(spark, sf):
     return no_first(spark, sf).select("Date", "ID", "Sex", "Stim", "event_id", "RTime", "Blocks_trimmed", "block_row")
 
 
+@query("stored_blocks", statement(
+    """SELECT Date, ID, Sex, Stim, Blocks_trimmed, count(*) AS rows, avg(RTime) AS RTime FROM analysis
+       WHERE Date BETWEEN (SELECT min(Date) + INTERVAL 2 DAY FROM trials) AND (SELECT min(Date) + INTERVAL 20 DAY FROM trials) GROUP BY ALL""",
+    ["RTime"], ["Date"]))
+def stored_blocks(spark, sf):
+    """Kept trials and mean time per recording of a span of days, read from a stored layer."""
+    start = src.trials(spark, sf).agg(F.min("Date")).first()[0]
+    span = (start + dt.timedelta(days=2), start + dt.timedelta(days=20)) if start else (None, None)
+    return blocks.kept_rows(stored_trials(spark, sf, span), PARAMS).groupBy(
+        *blocks.BLOCK_KEYS, "Blocks_trimmed").agg(F.count("*").alias("rows"), F.avg("RTime").alias("RTime"))
+
+
 @query("block_count", statement("SELECT * FROM blocks_left", dates=["Date"]))
 def block_count(spark, sf):
     """Whole blocks per recording after the first."""

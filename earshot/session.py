@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +22,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a table that several jobs will read, in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, for a table that several jobs will read with their own filters and columns."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4()}"
