@@ -56,7 +56,7 @@ def no_wave(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["abr_anova_w1"])
+@pytest.mark.parametrize("name", ["abr_anova_w1", "abr_shapiro_w1"])
 def test_models_of_nothing_equal_sql(spark, no_wave, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{no_wave}/lineitem.parquet/*.parquet'")
