@@ -3,11 +3,11 @@
 Generators with high recall propose spans, which may overlap: everything of the base shapes,
 phone numbers without a country code, and values after words like ``token``. Spans of a base
 shape that pass its check are base spans and always stay; those that fail are none and only
-serve as examples. Boosted trees over format and context features judge the others. They learn from a bounded sample of texts
-(``TRAIN_DOCS``), in which the checks of the base shapes, a strict form of secrets and plain words in their place give
+serve as examples. Boosted trees over format and context features judge the others. They learn from all texts, whose candidates
+one job counts by feature pattern (``2**FEATURES`` at most): the checks of the base shapes, a strict form of secrets and plain words in their place give
 the labels (other values have none); features that only repeat a check's trigger (the plus sign) are left out, so that
 what looks alike is found as well. Per kind, the threshold lies just below the least margin that is
-right in ``PRECISION`` of a held-out part of the sample. Of overlapping additions the one with the
+right in ``PRECISION`` of the candidates of a third of all texts, which the trees do not see. Of overlapping additions the one with the
 higher margin stays; an addition may hold a base span, but not cut into one.
 
 Only DataFrame and SQL functions touch the texts, and nothing is shuffled: each row is judged
@@ -24,10 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm import boosting
-from earshot.llm.tables import written
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
-TRAIN_DOCS = 5000
 PRECISION = 0.95
 SHAPES = [  # (kind, base shape?, pattern)
     (0, True, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -118,13 +116,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("_c", F.concat(*parts)).drop(*[f"_p{i}" for i in range(len(SHAPES))])
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[list[boosting.Tree], dict[int, float]]:
-    """Trees and a threshold per kind, from about ``train_docs`` texts drawn by hash."""
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("pii")), F.lit(1 << 30))
-    sample = docs.where(draw * F.lit(max(n, 1)) < F.lit(train_docs * (1 << 30))).select(draw.alias("_draw"), F.col(f"`{text}`").alias("text"))
-    # stored before patterns see it: in one plan they would run over every text of the table
-    each = candidates(written(sample)).select((F.col("_draw") % 3 == 0).alias("held"), F.explode("_c").alias("c"))
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[list[boosting.Tree], dict[int, float]]:
+    """Trees and a threshold per kind: trees from two thirds of all texts, thresholds from the rest, dealt by the key's hash."""
+    dealt = docs.select((F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("pii")), F.lit(1 << 30)) % 3 == 0).alias("held"), F.col(f"`{text}`").alias("text"))
+    # not plain explode: the planner would put a filter on the array before it and compute it twice
+    each = candidates(dealt).select("held", F.explode_outer("_c").alias("c"))
     # candidates that no check speaks about have no label
     rows = each.where(F.col("c.shape") | ((F.col("c.kind") == 4) & F.col("c.label").isNotNull())).groupBy("held", "c.kind", "c.pattern", "c.label").count().collect()
     counts: dict[tuple[int, bool], int] = defaultdict(int)

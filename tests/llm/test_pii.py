@@ -120,3 +120,13 @@ def test_secrets_of_other_case_and_form(spark, documents):
     assert labels == {1000: True, 1001: None, 1002: None, 1003: False}
     found = pii.find(docs, pii.fit(docs)).where("doc_id >= 1000").collect()
     assert {r.doc_id for r in found if r.pii} >= {1000, 1001} and not next(r.pii for r in found if r.doc_id == 1003)
+
+
+def test_every_text_is_learned_from(spark, documents, monkeypatch):
+    """Nothing is drawn: trees and thresholds together count each address once, however many texts there are."""
+    docs = documents([(i, "from one@example.org") for i in range(9000)])
+    counted = []
+    monkeypatch.setattr(boosting, "fit", lambda counts, features: counted.append(sum(counts.values())) or [])
+    monkeypatch.setattr(boosting, "threshold", lambda held, precision: counted.append(sum(n for _, _, n in held)) or 0.0)
+    pii.fit(docs)
+    assert sum(counted) == 9000 and 5500 < counted[0] < 6500
