@@ -6,6 +6,7 @@ Words are ``[^\\x20\\x09-\\x0D]+``; in UTF-8 these bytes are never part of anoth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -50,7 +51,9 @@ class Rolling:
         self.parts = []
         for k, prime in enumerate(map(np.uint64, PRIMES)):
             up, down = residues(len(values) + 1, k)
-            terms = (values % prime if values.dtype.itemsize > 4 else values.astype(np.uint64) + np.uint64(1)) * up[:-1] % prime
+            terms = (values % prime if values.dtype.itemsize > 4 else values.astype(np.uint64) + np.uint64(1)) * up[:-1]
+            if values.dtype.itemsize > 1 or len(values) >= 1 << 25:  # else sums of the products stay below 2**64 as they are
+                terms %= prime
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])  # below 2**64 for 2**33 terms
             self.parts.append((prime, sums, down))
 
@@ -64,9 +67,13 @@ class Rolling:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits spread so that sums of the results show no pattern."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(27)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def chunks(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -90,14 +97,34 @@ class Words:
         self.sizes = np.fromiter(map(len, raws), np.int64, len(raws))
         self.bytes = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]]).astype(np.int64)  # byte each text starts at
-        blank = SPACE[self.bytes]
-        edge = np.flatnonzero(np.diff(blank, prepend=True))
-        self.start, self.end = edge[0::2], edge[1::2]
-        self.blank = blank
-        self.bound = np.searchsorted(self.start, np.append(self.first, len(self.bytes)))  # words of text i: bound[i]:bound[i + 1]
-        self.counts = np.diff(self.bound)
         self._sums = self._rolling = None
 
+    # words are looked for when they are asked for: work on bytes does without
+    @cached_property
+    def blank(self) -> np.ndarray:
+        return SPACE[self.bytes]
+
+    @cached_property
+    def _edge(self) -> np.ndarray:
+        return np.flatnonzero(np.diff(self.blank, prepend=True))
+
+    @property
+    def start(self) -> np.ndarray:
+        return self._edge[0::2]
+
+    @property
+    def end(self) -> np.ndarray:
+        return self._edge[1::2]
+
+    @cached_property
+    def bound(self) -> np.ndarray:
+        """Words of text i: bound[i]:bound[i + 1]."""
+        return np.searchsorted(self.start, np.append(self.first, len(self.bytes)))
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.bound)
+
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges; equal ranges get equal hashes."""
         if self._rolling is None:
@@ -106,10 +133,26 @@ class Words:
 
     def marks(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Quicker numbers for byte ranges, equal for equal ranges, that may meet for others: to choose by, not to compare by."""
+        sums, down = self._summed()
+        return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def marks_along(self, width: int) -> np.ndarray:
+        """The same for all ranges of ``width`` bytes, from the first byte on."""
+        sums, down = self._summed()
+        out = sums[width:] - sums[:-width]
+        out *= down[:len(out)]
+        out += np.uint64(width)
+        return mixed(out)
+
+    def _summed(self) -> tuple[np.ndarray, np.ndarray]:
         up, down = powers(len(self.bytes) + 1)
         if self._sums is None:
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.bytes + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-        return mixed((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64))
+            terms = self.bytes.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= up[:-1]
+            self._sums = np.zeros(len(terms) + 1, np.uint64)
+            np.cumsum(terms, out=self._sums[1:])
+        return self._sums, down
 
     def text_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.sizes)), self.counts)

@@ -56,8 +56,9 @@ class Chunk:
         np.add.at(steps, w.first[long], 1)
         np.add.at(steps, (w.first + w.sizes)[long] - window + 1, -1)
         self.valid = np.cumsum(steps[:-1]) > 0
-        starts = np.arange(n - PREFIX + 1)
-        key = w.marks(starts, starts + PREFIX) >> np.uint64(32) << np.uint64(32) | starts.astype(np.uint64)
+        key = w.marks_along(PREFIX)
+        key &= np.uint64(0xFFFFFFFF00000000)
+        key |= np.arange(len(key), dtype=np.uint64)
         at = np.flatnonzero(self.valid)
         if not len(at):
             return

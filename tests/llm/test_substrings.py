@@ -81,3 +81,13 @@ def test_texts_that_simple_hashes_confuse(spark, documents):
     got = sorted((r.n_removed, r.n_bytes) for r in substrings.remove_repeats(documents(rows)).collect())
     want = sorted((t[1], t[0]) for t in brute([t for _, t in rows], 200))
     assert got == want
+
+
+def test_chunks_do_not_look_for_words():
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab \n") for _ in range(rnd.randrange(600))) for _ in range(30)]
+    c = substrings.Chunk(texts, 200)
+    starts = np.arange(len(c.w.bytes) - 48 + 1)
+    assert (c.w.marks_along(48) == c.w.marks(starts, starts + 48)).all()
+    c.suffixes(200)
+    assert "blank" not in vars(c.w) and c.w.counts.tolist() == [len(t.split()) for t in texts]
