@@ -16,8 +16,10 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept with their ids in each Python worker, and the longest such piece: bounds on memory, not on input.
-KEPT_PIECES, KEPT_CHARS = 500_000, 40
+KEPT_PIECES, KEPT_CHARS = 200_000, 40
 BATCH_CHARS = 3_000_000  # texts whose new pieces are merged together
 LONG = 200  # bytes from which a piece is merged by itself
 FAN, LOW = 8, 255  # 256 ranks in each word of the bitmap
@@ -131,25 +133,29 @@ def merge_many(pieces: list[bytes], merges: Merges) -> list[bytes]:
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     first = np.concatenate([[0], np.cumsum(sizes)])
     raw, n = np.frombuffer(b"".join(pieces), np.uint8), int(first[-1])
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    ids = merges.byte_ids_array[raw]
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    # positions and ids fit 32 bits: a batch's pieces are short
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    ids = merges.byte_ids_array.astype(np.int32)[raw]
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[first[1:] - 1], before[first[:-1]] = n, -1
-    due = np.append(merges.byte_pairs[raw[:-1], raw[1:]], -1)
+    due = np.append(merges.byte_pairs.astype(np.int32)[raw[:-1], raw[1:]], np.int32(-1))
     due[first[1:] - 1] = -1
-    order = np.argsort(due, kind="stable")
-    order = order[np.searchsorted(due[order], 0):]
+    order = np.flatnonzero(due >= 0).astype(np.int32)
+    order = order[np.argsort(due[order], kind="stable")]
     starts = np.flatnonzero(np.diff(due[order], prepend=-1))
-    buckets = {int(due[part[0]]): part.tolist() for part in np.split(order, starts[1:]) if len(part)}
+    waiting = {int(due[part[0]]): part for part in np.split(order, starts[1:]) if len(part)}  # as sorted, before any merge
+    buckets: dict[int, list[int]] = {}  # what comes up later
     words: dict[int, int] = {}
-    for rank in buckets:
+    for rank in waiting:
         words[rank >> FAN] = words.get(rank >> FAN, 0) | 1 << (rank & LOW)
     top = sum(1 << word for word in words)
     while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
         rank = word << FAN | (bits & -bits).bit_length() - 1
-        at = np.array(buckets.pop(rank))
+        at = np.array(buckets.pop(rank, []), np.int64)
+        if rank in waiting:
+            at = np.concatenate([waiting.pop(rank), at])
         at = np.sort(at[due[at] == rank])  # the rest is stale
         lead = np.diff(piece[at], prepend=-1) != 0
         if lead.all():
@@ -167,14 +173,14 @@ def merge_many(pieces: list[bytes], merges: Merges) -> list[bytes]:
         before[end] = right
         left = left[left >= 0]
         changed = np.concatenate([right, left])
-        new = merges.lookup(np.concatenate([ids[end] | rank << ID_BITS, ids[left] << ID_BITS | rank]))
+        new = merges.lookup(np.concatenate([ids[end].astype(np.int64) | rank << ID_BITS, ids[left].astype(np.int64) << ID_BITS | rank]))
         due[changed] = new
         some = new >= 0
         for rank, i in zip(new[some].tolist(), changed[some].tolist()):
             if rank in buckets:
                 buckets[rank].append(i)
             else:
-                buckets[rank] = [i]
+                buckets[rank] = [i]  # others may wait, then the bit is set already
                 word = rank >> FAN
                 words[word] = words.get(word, 0) | 1 << (rank & LOW)
                 top |= 1 << word
@@ -223,7 +229,7 @@ def split_patterns(pattern: str) -> tuple[str, str]:
 
 
 class Encoder(dict):
-    """Ids of pieces as bytes; short pieces are remembered."""
+    """Ids of pieces as bytes; short pieces that came up more than once among some texts are remembered."""
 
     def __bool__(self) -> bool:
         return True
@@ -242,7 +248,7 @@ class Encoder(dict):
         except UnicodeEncodeError:
             return self.any.findall(text)
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: Iterable[str]) -> None:
         ranks, several = self.merges.ranks, []
         for piece in pieces:
             raw = piece.encode()
@@ -258,22 +264,29 @@ class Encoder(dict):
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of each text."""
-        out, i = [], 0
+        return [ids for part in self.parts(texts) for ids in part]
+
+    def parts(self, texts: list) -> Iterator[list[bytes]]:
+        """The same, some texts at a time: what is done need not stay in memory."""
+        i = 0
         while i < len(texts):
             found, chars = [], 0
             while i < len(texts) and chars < BATCH_CHARS:
                 found.append(self._found(texts[i]))
                 chars += len(texts[i] or "")
                 i += 1
-            new = {piece for pieces in found for piece in pieces if piece not in self}
+            times = Counter(chain.from_iterable(found))
+            new = {piece: n for piece, n in times.items() if piece not in self}
+            del times
             self._learn(new)
-            out.extend(b"".join(map(self.__getitem__, pieces)) for pieces in found)
-            for piece in new:
-                if len(piece) > KEPT_CHARS:
+            out = [b"".join(map(self.__getitem__, pieces)) for pieces in found]
+            for piece, n in new.items():
+                if n == 1 or len(piece) > KEPT_CHARS:
                     del self[piece]
             if len(self) > KEPT_PIECES:
                 self.clear()
-        return out
+            del found, new
+            yield out
 
 
 def encoder(spark, ranks: dict[bytes, int], pattern: str):
@@ -284,7 +297,8 @@ def encoder(spark, ranks: dict[bytes, int], pattern: str):
         state = shared.value  # one object per Python worker, so the coder lasts for all its tasks
         coder = state["coder"] = state.get("coder") or Encoder(*state["parts"])
         for texts in batches:
-            yield pd.Series(coder.encode(texts.tolist()), dtype=object)
+            for part in coder.parts(texts.tolist()):
+                yield pd.Series(part, dtype=object)
 
     encoded.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(encoded, "binary")
@@ -315,8 +329,8 @@ def round_trip(spark, ranks: dict[bytes, int], pattern: str):
         coder = state["coder"] = state.get("coder") or Encoder(*state["parts"])
         tokens = state["tokens"] = state.get("tokens") or {i: b for b, i in state["parts"][0].items()}
         for texts in batches:
-            ids = coder.encode(texts.tolist())
-            yield pd.DataFrame({"token_ids": ids, "decoded": [joined(i, tokens) for i in ids]}, dtype=object)
+            for ids in coder.parts(texts.tolist()):
+                yield pd.DataFrame({"token_ids": ids, "decoded": [joined(i, tokens) for i in ids]}, dtype=object)
 
     both.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(both, "token_ids binary, decoded binary")

@@ -32,6 +32,7 @@ LEAST_REPEAT = 10  # words of a repeat that counts for the verdict
 MOST_COVERED = 0.15  # share of the words' characters that repeats cover
 MOST_LONGEST = 0.30  # share of words in the longest repeat
 LONGEST_WORDS = 200  # a repeat of more words fails in a text of any length
+CHUNK = 250_000  # bytes of texts, or one text, that a worker measures at once: its arrays take nearly a hundred times that
 SYMBOLS = b"#*$%&|<>"  # fixed values
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_chars", "longest_repeat"]
 SHAPE = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
@@ -93,7 +94,7 @@ def repeated_lines(w: bytewords.Words) -> np.ndarray:
 @F.pandas_udf(SHAPE)
 def _measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        parts = [measures(raws) for _, raws in bytewords.chunks(texts.tolist())]
+        parts = [measures(raws) for _, raws in bytewords.chunks(texts.tolist(), CHUNK)]
         yield pd.concat(parts) if parts else pd.DataFrame(columns=MEASURES, dtype="int64")
 
 

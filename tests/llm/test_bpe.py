@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from array import array
 
 import public_tokenizers
@@ -70,6 +71,31 @@ def test_odd_texts(coder, library):
     assert [array("I", ids).tolist() for ids in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_memory_of_new_pieces_is_bounded(ranks, library):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    texts = [" ".join(word() for _ in range(5000)) for _ in range(50)]
+    coder = bpe.Encoder(ranks, bpe.split_patterns(public_tokenizers.PATTERN))
+    tracemalloc.start()
+    try:
+        out = coder.encode(texts)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert [array("I", ids).tolist() for ids in out[:3]] == [library.encode_ordinary(t) for t in texts[:3]]
+    assert held - sum(map(len, out)) < 20e6  # words that come once are not remembered
+    assert peak < 200e6
+
+
+def test_parts_are_the_texts_in_order(coder, library, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 10)
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 2)
+    texts = ["one two one two", None, "three", "", "one two", "one three three", "xyzzy" * 50, "two"]
+    parts = list(coder.parts(texts))
+    assert len(parts) > 2
+    assert [array("I", ids).tolist() for part in parts for ids in part] == [library.encode_ordinary(t or "") for t in texts]
+
+
 def test_round_trip_and_defined_cases(spark, documents, ranks):
     docs = documents([(1, "Über alles, naïve café 漢字\n"), (2, None), (3, ""), (4, "x" * 50000), (5, "same"), (5, "same"), (None, "key")]).withColumn("decoded", F.lit(1))
     out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, out="back").collect()

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,3 +89,16 @@ def test_rules(spark, documents):
 
 def test_union_of_spans():
     assert quality.covered(np.array([0, 3, 0, 0, 0, 1, 0])).tolist() == [False, True, True, True, False, True, False]
+
+
+def test_memory_follows_a_chunk_not_the_batch():
+    rnd = random.Random(4)
+    texts = pd.Series([" ".join(rnd.choices(["ab", "cde", "fghi", "jklmn"], k=500)) for _ in range(1200)])
+    tracemalloc.start()
+    try:
+        got = pd.concat(quality._measured.func(iter([texts])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == len(texts) and (got["n_words"] == 500).all()
+    assert peak < 40e6
