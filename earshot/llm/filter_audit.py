@@ -94,8 +94,9 @@ def failures(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         F.coalesce(F.max(F.when(F.col("quality") == 1, 1)), F.lit(0)).alias("good"),
         F.coalesce(F.max(F.when(F.col("toxic") == 1, 1)), F.lit(0)).alias("toxic"),
     ).where("key is not null and good + toxic > 0")
-    marked = salted_join(rows.withColumn("_by", F.xxhash64("digest")), flags, ["key"], "_by", SALTS, "left").drop("_by").fillna(
-        0, ["good", "toxic"])
+    # merged: flags with their salts are many times what the planner takes the labels for, too many to broadcast
+    marked = salted_join(rows.withColumn("_by", F.xxhash64("digest")), flags.hint("merge"), ["key"], "_by", SALTS, "left").drop(
+        "_by").fillna(0, ["good", "toxic"])
     # of each text: rows without a key, those of the least key, and all
     texts = marked.groupBy("digest", "part", "mask", "good", "toxic").agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("keyless"),

@@ -58,6 +58,16 @@ def test_nothing_and_one(spark, documents):
     assert one.count() == 600 and one.where("kept + removed > 1").count() == 0
 
 
+def test_labels_are_not_broadcast(spark, documents, tmp_path):
+    # a small file of labels by its bytes, sixteen times its rows by the join
+    documents([(i, f"t{i % 150}") for i in range(200)]).write.parquet(f"{tmp_path}/documents")
+    spark.range(300).selectExpr("id doc_id", "cast(id % 2 as int) quality", "cast(id % 5 = 0 as int) toxic").write.parquet(f"{tmp_path}/labels")
+    failed = filter_audit.failures(spark.read.parquet(f"{tmp_path}/documents"), spark.read.parquet(f"{tmp_path}/labels"))
+    got = sorted(tuple(r) for r in failed.select("part", "mask", "n", "good", "toxic").collect())
+    assert got == [("en", 1, 150, 75, 30), ("en", 17, 50, 25, 10)]
+    assert "Broadcast" not in failed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_intervals_cover_each_order_once():
     for n in (1, 2, 5):
         order = list(permutations(range(n)))
